@@ -70,7 +70,7 @@ if __name__ == "__main__":
         try:
             r = compare(spark, con, n, sf)
         except Exception as e:  # report and go on with the other queries
-            r = f"FAIL {type(e).__name__}: {str(e)[:1200]}"
+            r = f"FAIL {type(e).__name__}: {str(e)[:700]}"
         if r.startswith("FAIL") or "TYPES" in r or "EMPTY" in r:
             fails += 1
         print(f"{n:28s} {r}", flush=True)

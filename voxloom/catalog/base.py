@@ -98,7 +98,7 @@ SELECT 'term_'||lpad(pos::VARCHAR,4,'0') AS term_id, *, 'term' AS category FROM
 cte("terms", ("glossary_raw",), "SELECT * FROM glossary_raw WHERE pos%2=1")
 cte("translations", ("segments",), r"""
 SELECT job_id, chunk_id, segment_id, CASE WHEN k=0 THEN '' WHEN k=1 THEN concat_ws(' ',t,t,t,t) WHEN k=2 THEN '   '
- WHEN k<6 THEN upper(t) ELSE replace(t,'the','eht') END AS vi_text
+ WHEN k<6 THEN replace(t,'e','E') ELSE replace(t,'the','eht') END AS vi_text
 FROM (SELECT *, (job_id*7+chunk_id)%10 AS k, source_text AS t FROM segments)""")
 cte("frames", (), r"""
 SELECT user_id AS job_id, i, 500*(i-1) AS start_ms, 500*i AS end_ms, CAST(floor(value) AS BIGINT) AS rms, value FROM (
@@ -130,3 +130,11 @@ SELECT * EXCLUDE (keep), end_ms-start_ms AS duration_ms, CAST(keep AS BIGINT) AS
   FROM nb WHERE pe IS NULL AND start_ms>0
  UNION ALL SELECT job_id,'between_speech', end_ms, ns, cue_id, nid FROM nb WHERE ns>end_ms
  UNION ALL SELECT job_id,'after_last', end_ms, end_ms+job_id%3*1000, cue_id, NULL FROM nb WHERE ns IS NULL AND job_id%3>0))""")
+cte("doc_words", (), r"""
+SELECT job_id, chunk_id, 'line_'||lpad(chunk_id::VARCHAR,6,'0') AS segment_id, pos, text, chunk_id*1000000+100*pos AS start_ms, chunk_id*1000000+100*pos+80 AS end_ms FROM (
+ SELECT job_id, chunk_id, unnest(string_split(t,' ')) AS text, CAST(generate_subscripts(string_split(t,' '),1) AS BIGINT) AS pos FROM (
+  SELECT job_id, chunk_id, trim(regexp_replace(l,'\s+',' ','g')) AS t FROM (
+   SELECT doc_id AS job_id, unnest(string_split(text, chr(10))) AS l, CAST(generate_subscripts(string_split(text, chr(10)),1)-1 AS BIGINT) AS chunk_id FROM documents)) WHERE t<>'')""")
+cte("doc_lines", ("doc_words",), """
+SELECT job_id, chunk_id, segment_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_words, string_agg(text,' ' ORDER BY pos) AS source_text
+FROM doc_words GROUP BY ALL""")

@@ -110,7 +110,7 @@ def subtitle_escape(c: Column) -> Column:
 
 def foreign_scripts(c: Column) -> Column:
     """Sorted names of non-Latin scripts present in the text."""
-    hits = [F.when(F.rlike(c, p), F.lit(name)) for name, p in rules.SCRIPTS]
+    hits = [F.when(F.rlike(c, F.lit(p)), F.lit(name)) for name, p in rules.SCRIPTS]
     return F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))
 
 
@@ -166,3 +166,106 @@ def normalize_spoken(c: Column, spans: Column | None = None) -> Column:
 def nfc_casefold(texts: pd.Series) -> pd.Series:
     """Canonical composition and full case folding; Spark has neither."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
+
+
+def match_spans(c: Column, pattern: str) -> Column:
+    """All matches of a pattern as structs (m, start, end) with 0-based code-point offsets.
+
+    Text between matches and the matches themselves alternate, so offsets are running lengths.
+    """
+    found = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    pairs = F.zip_with(F.split(c, pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
+    empty = F.array().cast("array<struct<m:string,start:int,end:int>>")
+
+    def step(acc: Column, p: Column) -> Column:
+        at = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.length(p["gap"])
+        return F.concat(acc, F.array(F.struct(p["m"].alias("m"), at.alias("start"), (at + F.length(p["m"])).alias("end"))))
+
+    return F.aggregate(pairs, empty, step)
+
+
+SPAN_TYPE = (
+    "array<struct<start_char:int,neg_len:int,rule:int,end_char:int,rule_id:string,kind:string,source_text:string,"
+    "canonical:string,spoken:string,display:string>>"
+)
+
+
+def _span_struct(n: int, rule: tuple[str, ...]):
+    rule_id, pattern, canonical, spoken, display, kind = rule
+    bare = pattern.replace(rules.NO_LETTER_BEFORE, "").replace(rules.NO_LETTER_AFTER, "")
+
+    def fill(template: str, m: Column) -> Column:
+        out = F.lit(template)
+        for g in (1, 2):
+            if f"{{{g}}}" in template:
+                out = F.replace(out, F.lit(f"{{{g}}}"), F.regexp_extract(m, bare, g))
+        return out
+
+    def build(s: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start_char"), (s["start"] - s["end"]).alias("neg_len"), F.lit(n).alias("rule"),
+            s["end"].alias("end_char"), F.lit(rule_id).alias("rule_id"), F.lit(kind).alias("kind"),
+            s["m"].alias("source_text"), fill(canonical, s["m"]).alias("canonical"),
+            fill(spoken, s["m"]).alias("spoken"), fill(display, s["m"]).alias("display"),
+        )
+
+    return build
+
+
+def protected_spans(c: Column) -> Column:
+    """Notation spans by the rule table; overlaps go to the earlier, then longer, then first rule."""
+    parts = [F.transform(match_spans(c, r[1]), _span_struct(n, r)).cast(SPAN_TYPE) for n, r in enumerate(rules.SPAN_RULES)]
+    ordered = F.array_sort(F.concat(*parts))
+
+    def keep(acc: Column, s: Column) -> Column:
+        taken = F.coalesce(F.try_element_at(acc, F.lit(-1))["end_char"], F.lit(0))
+        return F.when(s["start_char"] >= taken, F.concat(acc, F.array(s))).otherwise(acc)
+
+    return F.aggregate(ordered, F.array().cast(SPAN_TYPE), keep)
+
+
+def semantic_text(c: Column) -> Column:
+    """Spoken text reduced to comparable tokens: notation spelled out, marks dropped, tokens unified."""
+    t = nfc_casefold(c)
+    for old, new in (("½", " một phần hai "), ("×", " nhân "), ("/", " trên ")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    for mark, word in (("²", "bình phương"), ("³", "lập phương")):
+        t = F.regexp_replace(t, rf"([a-zà-ỹ]){mark}", f"$1 {word}")
+        t = F.regexp_replace(t, rf"((?U)\d+){mark}", f"$1 {word}")
+    t = F.regexp_replace(t, r"(?U)(\d+)m\b", "$1 m")
+    toks = tokens(F.regexp_replace(t, r"[\p{P}\p{S}]", " "))
+    return F.array_join(semantic_tokens(toks), " ")
+
+
+def semantic_tokens(toks: Column) -> Column:
+    def words(*xs: str) -> Column:
+        return F.array(*[F.lit(x) for x in xs])
+
+    def digit(d: Column) -> Column:
+        out = F.when(d == "0", rules.DIGIT_WORDS[0])
+        for i in range(1, 10):
+            out = out.when(d == str(i), rules.DIGIT_WORDS[i])
+        return out.otherwise(d)
+
+    def one(tok: Column, i: Column) -> Column:
+        prev = F.coalesce(F.get(toks, i - 1), F.lit(""))
+        nxt = F.coalesce(F.get(toks, i + 1), F.lit(""))
+        num = F.regexp_extract(tok, r"^(\d+)", 1)
+        out = (
+            F.when((tok == "sắp") & (nxt == "xỉ"), words("xấp"))
+            .when(F.rlike(tok, F.lit(r"^\d+pr$")), F.concat(F.array(digit(num)), words("pi", "r")))
+            .when(F.rlike(tok, F.lit(r"^\d+p$")), F.concat(F.array(digit(num)), words("pi")))
+            .when(tok == "pr", words("pi", "r"))
+            .when(tok.isin("drx", "trx"), words("d", "r", "ít"))
+            .when(
+                (tok == "x") & F.rlike(prev, F.lit(rules.FACTOR_TOKEN)) & F.rlike(nxt, F.lit(rules.FACTOR_TOKEN)),
+                words("nhân"),
+            )
+            .when(F.rlike(tok, F.lit(r"^\d+$")), F.array(digit(tok)))
+        )
+        for alias, repl in rules.TOKEN_ALIASES.items():
+            out = out.when(tok == alias, words(*repl))
+        return out.otherwise(F.array(tok))
+
+    return F.flatten(F.transform(toks, one))

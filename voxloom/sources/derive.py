@@ -167,7 +167,7 @@ def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.lit(""))
         .when(k == 1, F.concat_ws(" ", t, t, t, t))
         .when(k == 2, F.lit("   "))
-        .when(k < 6, F.upper(t))
+        .when(k < 6, F.replace(t, F.lit("e"), F.lit("E")))
         .otherwise(F.replace(t, F.lit("the"), F.lit("eht")))
         .alias("vi_text"),
     )
@@ -239,3 +239,27 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("linestatus"),
         F.round(F.col("l_tax") * 100).cast("long").alias("tax_pct"),
     )
+
+
+@builder
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as recordings: lines are segments, words follow each other on a made-up clock."""
+    d = raw(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    d = d.select("doc_id", F.col("line").cast("long").alias("line"), F.posexplode(tx.tokens(tx.squeeze("t"))).alias("p", "text"))
+    start = F.col("line") * 1_000_000 + 100 * (F.col("p") + 1)
+    return d.select(
+        F.col("doc_id").alias("job_id"), F.col("line").alias("chunk_id"),
+        F.format_string("line_%06d", "line").alias("segment_id"), (F.col("p") + 1).cast("long").alias("pos"), "text",
+        start.alias("start_ms"), (start + 80).alias("end_ms"),
+    )
+
+
+@builder
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "doc_words")
+    # a line is one piece of one input cell
+    s = w.groupBy("job_id", "chunk_id", "segment_id").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"),
+        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("w"),
+    )
+    return s.withColumn("source_text", F.array_join("w.text", " ")).drop("w")
