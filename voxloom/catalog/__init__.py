@@ -4,7 +4,7 @@ import importlib
 
 from voxloom.catalog.base import ORACLES, QUERIES
 
-for _m in ("timeline", "recognition", "transcript", "translation"):
+for _m in ("timeline", "recognition", "transcript", "translation", "sound", "state"):
     importlib.import_module(f"voxloom.catalog.{_m}")
 
 __all__ = ["ORACLES", "QUERIES"]

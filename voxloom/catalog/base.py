@@ -110,7 +110,7 @@ FROM (SELECT *, CAST(floor(epoch_us(ts)/1000) AS BIGINT) AS ms FROM events)""")
 cte("audio", (), r"""
 SELECT vec_id AS clip_id, 100 AS sample_rate, CAST(i AS BIGINT) AS i,
  CAST(CASE WHEN vec_id%5=0 AND i BETWEEN 20 AND 40 THEN 0 WHEN vec_id%7=0 AND i<12 THEN 0
-  ELSE floor(x::FLOAT * 30000::FLOAT) END AS BIGINT) AS s
+  ELSE floor(x::DOUBLE * 30000) END AS BIGINT) AS s
 FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding,1)-1 AS i FROM embeddings)""")
 cte("manifest", (), r"""
 SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS name, epoch_ms(l_shipdate) AS created_ms, l_partkey AS partkey,

@@ -60,10 +60,14 @@ def normalize_spoken(spark, sf):
     return d.select("job_id", "segment_id", tx.normalize_spoken(F.col("source_text")).alias("spoken_text"))
 
 
-@query("suspicious_scripts")
+@query("suspicious_scripts", (), r"""
+SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id%5=1 OR regexp_matches(text,'\p{Cyrillic}') THEN 'Cyrillic' END, CASE WHEN doc_id%5=2 OR regexp_matches(text,'\p{Greek}') THEN 'Greek' END,
+ CASE WHEN doc_id%5=1 OR contains(text, chr(65533)) THEN 'Replacement' END], lambda x: x IS NOT NULL),'|') AS scripts FROM documents""")
 def suspicious_scripts(spark, sf):
-    d = raw(spark, sf, "documents")
-    return d.select("doc_id", F.array_join(tx.foreign_scripts(F.col("text")), "|").alias("scripts")).where("scripts <> ''")
+    k = F.col("doc_id") % 5
+    extra = F.when(k == 1, "да \ufffd").when(k == 2, "λ").otherwise("")
+    d = raw(spark, sf, "documents").withColumn("t", F.concat("text", extra))
+    return d.select("doc_id", F.array_join(tx.foreign_scripts(F.col("t")), "|").alias("scripts"))
 
 
 @query("align_raw_tokens", ("segments", "words"), """

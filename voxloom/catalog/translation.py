@@ -49,7 +49,7 @@ def merge_glossary_forbidden(spark, sf):
 
 
 @query("shared_glossary", ("scoped",), """
-SELECT s.batch_id, s.job_id, t.* EXCLUDE (batch_id), n_jobs FROM (SELECT DISTINCT batch_id, job_id FROM scoped) s JOIN (
+SELECT s.batch_id, s.job_id, t.* EXCLUDE (batch_id) FROM (SELECT DISTINCT batch_id, job_id FROM scoped) s JOIN (
  SELECT batch_id, lower(original) AS term_key, arg_max(term_id, row(protected,confidence,-pos2)) AS term_id, bool_or(locked) AS locked, count(DISTINCT job_id) AS n_jobs
  FROM (SELECT *, pos+job_id*100000 AS pos2 FROM scoped) GROUP BY ALL) t ON s.batch_id=t.batch_id""")
 def shared_glossary(spark, sf):

@@ -225,20 +225,21 @@ def protected_spans(c: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(SPAN_TYPE), keep)
 
 
-def semantic_text(c: Column) -> Column:
-    """Spoken text reduced to comparable tokens: notation spelled out, marks dropped, tokens unified."""
-    t = nfc_casefold(c)
+def spell_notation(c: Column) -> Column:
+    """Tokens of case-folded text with notation spelled out and marks dropped."""
+    t = c
     for old, new in (("½", " một phần hai "), ("×", " nhân "), ("/", " trên ")):
         t = F.replace(t, F.lit(old), F.lit(new))
     for mark, word in (("²", "bình phương"), ("³", "lập phương")):
         t = F.regexp_replace(t, rf"([a-zà-ỹ]){mark}", f"$1 {word}")
         t = F.regexp_replace(t, rf"((?U)\d+){mark}", f"$1 {word}")
     t = F.regexp_replace(t, r"(?U)(\d+)m\b", "$1 m")
-    toks = tokens(F.regexp_replace(t, r"[\p{P}\p{S}]", " "))
-    return F.array_join(semantic_tokens(toks), " ")
+    return tokens(F.regexp_replace(t, r"[\p{P}\p{S}]", " "))
 
 
 def semantic_tokens(toks: Column) -> Column:
+    """Digits, letter pairs and common mishearings unified, looking at the tokens on either side."""
+
     def words(*xs: str) -> Column:
         return F.array(*[F.lit(x) for x in xs])
 

@@ -43,7 +43,7 @@ def _frame_runs(frames: DataFrame, width: int) -> DataFrame:
 def energy_islands(frames: DataFrame, *, ratio: float = 0.08, width: int = seq.ROWS) -> DataFrame:
     """Runs of frames at or above a share of the loudest; silent recordings give one flagged interval."""
     t = speech_threshold(frames, ratio=ratio)
-    speech = frames.join(t, "job_id").where("max_rms > 0 AND rms >= threshold")
+    speech = frames.select("job_id", "i", "start_ms", "end_ms", "rms").join(t, "job_id").where("max_rms > 0 AND rms >= threshold")
     runs = _frame_runs(speech, width).select("job_id", "start_ms", "end_ms", F.lit("vad_energy").alias("reason"))
     silent = t.where("max_rms <= 0").select(
         "job_id", F.lit(0).cast("long").alias("start_ms"), F.col("duration_ms").alias("end_ms"), F.lit("vad_fallback_full_audio").alias("reason")
@@ -60,7 +60,7 @@ def silence_gaps(frames: DataFrame, *, ratio: float = 0.08, width: int = seq.ROW
 def merge_intervals(intervals: DataFrame, *, gap_ms: int, width: int = seq.HOUR_MS) -> DataFrame:
     """Intervals whose gap to everything before is at most ``gap_ms`` become one."""
     order = [*ORDER, "_id"] if "_id" in intervals.columns else ORDER
-    r = seq.running(intervals, JOB, order, {"_reach": ("max", "end_ms")}, width=width)
+    r = seq.running(cut(intervals.select("job_id", *order)), JOB, order, {"_reach": ("max", "end_ms")}, width=width)
     r = seq.islands(r, JOB, order, ["start_ms", "_reach"], lambda p, c: c["start_ms"] - p["_reach"] > gap_ms, "grp", width=width)
     return r.groupBy("job_id", "grp").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("grp")
 
@@ -96,7 +96,7 @@ def absorb_short(
     order = ORDER
     if target_min_ms <= 0:
         return intervals.withColumn("members", F.lit(1).cast("long"))
-    r = seq.ranked(intervals.select("job_id", *ORDER), JOB, order, "rn", width=width)
+    r = seq.ranked(cut(intervals.select("job_id", *ORDER)), JOB, order, "rn", width=width)
     r = cut(r.withColumn("pos", F.col("rn") - 1).drop("rn"))
     marks = r.select("job_id", "pos", F.col("end_ms").alias("level"))
     reach = seq.first_beyond(
@@ -158,7 +158,7 @@ def split_long(
     preferred_ms = min(preferred_ms, hard_ms)
     limit = hard_ms if midpoints else preferred_ms
     early = max(1, min(target_min_ms, preferred_ms))
-    v = seq.ranked(intervals.select("job_id", *ORDER), JOB, ORDER, "iv", width=width)
+    v = seq.ranked(cut(intervals.select("job_id", *ORDER)), JOB, ORDER, "iv", width=width)
     v = cut(v.withColumn("long", F.col("end_ms") - F.col("start_ms") > limit))
     key = ["job_id", "iv"]
     long = v.where("long")
@@ -249,7 +249,7 @@ def split_long(
 
 def interval_neighbours(intervals: DataFrame, totals: DataFrame | None = None, *, width: int = seq.HOUR_MS) -> DataFrame:
     """Number intervals and add the silence before and after each."""
-    n = seq.neighbours(intervals, JOB, ORDER, ORDER, prev="p", nxt="n", width=width)
+    n = seq.neighbours(cut(intervals.select("job_id", *ORDER)), JOB, ORDER, ORDER, prev="p", nxt="n", width=width)
     n = seq.ranked(n, JOB, ORDER, "no", width=width)
     zero = F.lit(0).cast("long")
     if totals is not None:

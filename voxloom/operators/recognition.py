@@ -33,7 +33,7 @@ def timed_entries(raw: DataFrame) -> DataFrame:
             absolute_ms(w["end"], F.col("chunk_start_ms")).alias("e"),
         )
 
-    return raw.withColumn("entries", F.filter(F.transform("words", entry), lambda x: x["text"] != ""))
+    return seq.pin(raw, entries=F.filter(F.transform("words", entry), lambda x: x["text"] != ""))
 
 
 def timestamp_gate(raw: DataFrame) -> DataFrame:
@@ -62,7 +62,8 @@ def repair_word_times(raw: DataFrame) -> DataFrame:
     )
     unit = "array<struct<pos:bigint,text:string,start_ms:bigint,end_ms:bigint,raw_s:bigint,raw_e:bigint>>"
     # (position of each time value in reading order) -> next later time above the start
-    times = F.flatten(F.transform("entries", lambda x: F.array(x["s"], x["e"])))
+    t = seq.pin(t, times=F.flatten(F.transform("entries", lambda x: F.array(x["s"], x["e"]))))
+    times = F.col("times")
 
     def step(done: Column, x: Column) -> Column:
         start = F.when(F.size(done) > 0, F.greatest(x["s"], F.element_at(done, -1)["end_ms"])).otherwise(x["s"])
@@ -87,7 +88,7 @@ def repair_word_times(raw: DataFrame) -> DataFrame:
             x["s"].alias("raw_s"), x["e"].alias("raw_e"),
         ),
     ).cast(unit)
-    u = t.withColumn("units", F.when(clean, plain).otherwise(folded))
+    u = seq.pin(t, units=F.when(clean, plain).otherwise(folded))
     moved = F.exists("units", lambda x: (x["start_ms"] != x["raw_s"]) | (x["end_ms"] != x["raw_e"]))
     u = u.select(*CHUNK, moved.alias("repaired"), F.inline("units"))
     return u.select(*CHUNK, "pos", "text", "start_ms", "end_ms", "repaired")

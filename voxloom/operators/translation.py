@@ -168,11 +168,11 @@ def trim_boundary_repeats(cues: DataFrame, *, width: int = seq.HOUR_MS) -> DataF
     c = cues.select("job_id", *order, F.trim("display_text").alias("t"))
     c = c.withColumn("w", F.regexp_extract_all(F.lower("t"), F.lit(_BOUNDARY), F.lit(1)))
     c = cut(seq.neighbours(c, JOB, order, ["w", "t"], prev="p", width=width))
-    head = F.array_join(F.slice("w", 1, 5), " ")
-    n, m = F.size("w"), F.size("p.w")
+    c = seq.pin(c, head=F.array_join(F.slice("w", 1, 5), " "), n=F.size("w"), m=F.size("p.w"), pw=F.col("p.w"))
+    head, n, m = F.col("head"), F.col("n"), F.col("m")
     spots = F.filter(
         F.sequence(F.lit(0), F.greatest(m - 5, F.lit(0))),
-        lambda k: (F.array_join(F.slice(F.col("p.w"), k + 1, 5), " ") == head) & (n > m - k) & ((k == 0) | (k >= 5)),
+        lambda k: (F.array_join(F.slice(F.col("pw"), k + 1, 5), " ") == head) & (n > m - k) & ((k == 0) | (k >= 5)),
     )
     linked = (n >= 5) & (m >= 5) & (F.size(spots) > 0)
     c = c.withColumn("linked", F.coalesce(linked, F.lit(False)))

@@ -39,6 +39,15 @@ def _across(key: Sequence[str]):
     return Window.partitionBy(*key).orderBy("_blk")
 
 
+def pin(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    The optimiser folds a plain projection into the expressions that use it; inside a lambda that
+    means once per element. A one-row generator keeps the value.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def neighbours(
     df: DataFrame,
     key: Sequence[str],
@@ -225,10 +234,22 @@ def _exits(pos: np.ndarray, nxt: np.ndarray) -> np.ndarray:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _walk_dense(nxt: pd.Series) -> pd.Series:
+    def walk(jump: np.ndarray) -> list[int]:
+        path, i = [], 0
+        while 0 <= i < len(jump):
+            path.append(i)
+            i = int(jump[i])
+        return path
+
+    return nxt.map(walk)
+
+
 def chase(edges: DataFrame, key: Sequence[str], *, block: int = ROWS) -> DataFrame:
     """Rows (key, pos) on the path 0 -> nxt(0) -> nxt(nxt(0)) ... of each key.
 
-    ``edges`` is (key, pos, nxt) with nxt > pos; a null nxt ends the path. Keys of up to ``block``
+    ``edges`` is (key, pos, nxt) with pos dense from 0 and nxt > pos; a null nxt ends the path. Keys of up to ``block``
     rows are walked directly. Longer ones are walked by levels: each block of positions is reduced
     to where a walk leaves it, the same again on the few surviving positions, and the path is then
     refined downwards, so no task ever holds more than about ``block`` positions of a key.
@@ -249,8 +270,9 @@ def chase(edges: DataFrame, key: Sequence[str], *, block: int = ROWS) -> DataFra
 
     size = edges.groupBy(*key).agg((F.max("pos") >= block).alias("_long"))
     tagged = edges.join(size, key)
-    short = tagged.where("NOT _long").select(*key, "pos", "nxt", F.lit(0).cast("long").alias("entry"))
-    done = short.groupBy(*key).applyInPandas(walk, path_schema)
+    # a short key's edges fit one small array; many of them share an Arrow batch
+    short = tagged.where("NOT _long").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "nxt"))).alias("e"))
+    done = short.select(*key, F.explode(_walk_dense(F.col("e.nxt"))).alias("pos"))
     long = tagged.where("_long").select(*key, "pos", "nxt")
     if not long.limit(1).count():
         return done

@@ -27,6 +27,11 @@ def builder(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def wall_micros(ts: str) -> Column:
+    """Microseconds of a zone-less timestamp's wall clock, whatever the session's zone."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -190,7 +195,7 @@ def tts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @builder
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = raw(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job_id"), F.unix_micros("ts").alias("us"), "value", "event_id"
+        F.col("user_id").alias("job_id"), wall_micros("ts").alias("us"), "value", "event_id"
     )
     e = seq.ranked(e, ["job_id"], ["us", "event_id"], "i", width=86_400_000_000)
     return e.select(
@@ -202,7 +207,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @builder
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = raw(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job_id"), F.floor(F.unix_micros("ts") / 1000).alias("ms"), "value", "event_id"
+        F.col("user_id").alias("job_id"), F.floor(wall_micros("ts") / 1000).alias("ms"), "value", "event_id"
     )
     first = e.groupBy("job_id").agg(F.min("ms").alias("t0"))
     e = e.join(first, "job_id").withColumn("start_ms", F.col("ms") - F.col("t0"))
@@ -219,7 +224,7 @@ def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding",
         lambda x, i: F.when((F.col("vec_id") % 5 == 0) & i.between(20, 40), F.lit(0))
         .when((F.col("vec_id") % 7 == 0) & (i < 12), F.lit(0))
-        .otherwise(F.floor(x * 30000).cast("int")),
+        .otherwise(F.floor(x.cast("double") * 30000).cast("int")),
     )
     return e.select(F.col("vec_id").alias("clip_id"), F.lit(100).alias("sample_rate"), sample.alias("samples"))
 
@@ -230,7 +235,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("job_id"),
         F.col("l_linenumber").cast("long").alias("name"),
-        F.unix_millis("l_shipdate").alias("created_ms"),
+        F.floor(wall_micros("l_shipdate") / 1000).alias("created_ms"),
         F.col("l_partkey").alias("partkey"),
         F.col("l_suppkey").alias("suppkey"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
