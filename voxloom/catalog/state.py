@@ -24,7 +24,7 @@ def _scratch(spark, what):
 
 
 def _latest(spark, sf):
-    return st.latest_manifest(table(spark, sf, "manifest"), KEY, ORDER)
+    return table(spark, sf, "latest")
 
 
 def _files(latest):
@@ -54,7 +54,7 @@ SELECT job_id, name, CASE WHEN linestatus='F' THEN 'completed' WHEN returnflag='
 
 @query("latest_manifest", ("latest",), "SELECT * FROM latest")
 def latest_manifest(spark, sf):
-    return _latest(spark, sf)
+    return st.latest_manifest(table(spark, sf, "manifest"), KEY, ORDER)
 
 
 @query("invalid_artifacts", ("latest", "files"), """

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from voxloom.catalog.base import query
 from voxloom.operators import timeline as tl
 from voxloom.operators import tts
+from voxloom.session import cut
 from voxloom.sources.derive import table
 
 SILENCES = r"""
@@ -28,7 +29,7 @@ def source_speech_islands(spark, sf):
 
 @query("source_silences", ("islands",), SILENCES)
 def source_silences(spark, sf):
-    i = tl.source_speech_islands(table(spark, sf, "words"))
+    i = cut(tl.source_speech_islands(table(spark, sf, "words")))
     return tl.source_silences(i, totals(i))
 
 
@@ -40,8 +41,8 @@ SELECT s.*, coalesce(silence_ms,0) AS silence_ms, coalesce(longest_pause_ms,0) A
  LEFT JOIN (SELECT job_id, CAST(sum(duration_ms) AS BIGINT) AS silence_ms, max(duration_ms) AS longest_pause_ms FROM ({SILENCES}) GROUP BY job_id) q USING (job_id)
 """.replace("SELECT s.*,", "SELECT s.job_id, s.islands, s.words, s.speech_ms,"))
 def speech_summary(spark, sf):
-    i = tl.source_speech_islands(table(spark, sf, "words"))
-    return tl.speech_summary(i, tl.source_silences(i, totals(i)))
+    i = cut(tl.source_speech_islands(table(spark, sf, "words")))
+    return tl.speech_summary(i, tl.silence_spans(i, totals(i)))
 
 
 @query("source_sentences", ("cues",), """

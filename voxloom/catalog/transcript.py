@@ -9,6 +9,9 @@ from voxloom.operators import transcript as tr
 from voxloom.sources.derive import raw, table
 
 
+LINES = 400_000_000  # documents run on a clock of a million per line
+
+
 @query("transcript_segments")
 def transcript_segments(spark, sf):
     return tr.transcript_segments(table(spark, sf, "words"))
@@ -107,18 +110,18 @@ SELECT job_id, CAST(isl AS BIGINT) AS island, min(rn) AS first_rank, max(rn) AS
    LEFT JOIN (SELECT job_id, h, count(*) AS n2 FROM shingle WHERE h IS NOT NULL GROUP BY ALL) c ON s.job_id=c.job_id AND s.h=c.h) WHERE rn-b<8))
 GROUP BY ALL""")
 def repeat_islands(spark, sf):
-    w = tr.repeat_islands(table(spark, sf, "doc_words")).where("island IS NOT NULL AND tok <> ''")
+    w = tr.repeat_islands(table(spark, sf, "doc_words"), width=LINES).where("island IS NOT NULL AND tok <> ''")
     return w.groupBy("job_id", "island").agg(F.min("rn").alias("first_rank"), F.max("rn").alias("last_rank"))
 
 
 @query("collapse_repeats")
 def collapse_repeats(spark, sf):
-    return tr.collapse_repeats(table(spark, sf, "doc_words"))[1]
+    return tr.collapse_repeats(table(spark, sf, "doc_words"), width=LINES)[1]
 
 
 @query("collapsed_segments")
 def collapsed_segments(spark, sf):
-    return tr.segments_from_words(tr.collapse_repeats(table(spark, sf, "doc_words"))[0])
+    return tr.segments_from_words(tr.collapse_repeats(table(spark, sf, "doc_words"), width=LINES)[0])
 
 
 def _cue_words(spark, sf):

@@ -109,7 +109,7 @@ def absorb_short(
             r.select("job_id", "pos", (F.col("start_ms") + hard_max_ms).alias("threshold")), marks, JOB, "over", width=width
         )
         e = e.join(over, ["job_id", "pos"])
-        nxt = F.least(nxt, F.greatest(F.col("over"), F.col("pos") + 1))
+        nxt = F.least(nxt, F.when(F.col("over").isNotNull(), F.greatest(F.col("over"), F.col("pos") + 1)))
     last = r.groupBy("job_id").agg(F.max("pos").alias("last"))
     e = e.join(last, "job_id").select("job_id", "pos", F.when(nxt <= F.col("last"), nxt).alias("nxt"))
     g = seq.spans_from_starts(r, seq.chase(e, JOB), JOB, "grp")

@@ -60,8 +60,8 @@ def with_cue_fallback(islands: DataFrame, cues: DataFrame) -> DataFrame:
     return islands.withColumn("quality", F.lit("word")).unionByName(fallback)
 
 
-def source_silences(islands: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    """Gaps between speech intervals, before the first and (with totals) after the last, numbered densely."""
+def silence_spans(islands: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Gaps between speech intervals, before the first and (with totals) after the last."""
     n = seq.neighbours(islands, JOB, ["start_ms", "interval_no"], ["start_ms", "end_ms"], prev="p", nxt="n")
     if totals is not None:
         n = n.join(totals.select("job_id", "total_duration_ms"), "job_id", "left")
@@ -81,11 +81,13 @@ def source_silences(islands: DataFrame, totals: DataFrame | None = None) -> Data
         ),
     )
     g = n.select("job_id", F.inline(F.filter(found, lambda x: x.isNotNull())))
-    g = seq.ranked(g, JOB, ["start_ms", "end_ms"], "silence_no")
-    return g.select(
-        "job_id", (F.col("silence_no") - 1).alias("silence_no"), "position", "start_ms", "end_ms",
-        (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
-    )
+    return g.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+
+
+def source_silences(islands: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Silence spans numbered densely per recording."""
+    g = seq.ranked(silence_spans(islands, totals), JOB, ["start_ms", "end_ms"], "silence_no")
+    return g.withColumn("silence_no", F.col("silence_no") - 1)
 
 
 def speech_gaps(

@@ -175,9 +175,9 @@ def repeat_islands(words: DataFrame, *, min_words: int = 8, width: int = seq.HOU
     w = words.withColumn("tok", tx.comparison_token("text"))
     w = cut(seq.running(w, JOB, ORDER, {"rn": ("count", F.nullif(F.col("tok"), F.lit("")))}, width=width))
     content = w.where("tok <> ''").select("job_id", "rn", "tok")
-    shingle = seq.lookahead(content, JOB, ["rn"], ["tok"], min_words - 1, "s", width=seq.ROWS)
+    shingle = seq.following(content, JOB, "rn", "tok", min_words - 1, "s")
     shingle = shingle.where(F.size("s") == min_words).select(
-        "job_id", "rn", F.xxhash64(F.array_join("s.tok", " ")).alias("h")
+        "job_id", "rn", F.xxhash64(F.array_join("s", " ")).alias("h")
     )
     shingle = cut(shingle)
     often = shingle.groupBy("job_id", "h").agg(F.count("*").alias("n")).where("n > 1").select("job_id", "h")

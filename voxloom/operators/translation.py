@@ -242,21 +242,21 @@ def context_blocks(
     s = segments.withColumn("wc", tx.word_count("source_text"))
     s = seq.running(s, JOB, order, {"cum": ("sum", "wc"), "rn": ("count", F.lit(1))}, width=width)
     s = cut(s.select("job_id", "segment_id", (F.col("rn") - 1).alias("pos"), "wc", "cum"))
-    ahead = seq.lookahead(s.select("job_id", "pos", "wc"), JOB, ["pos"], ["wc"], max_segments, "a", width=seq.ROWS)
+    ahead = seq.following(s.select("job_id", "pos", "wc"), JOB, "pos", "wc", max_segments, "a")
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("stop"))
 
     def take(acc: Column, x: Column) -> Column:
         stop = (
             acc["stop"] | (acc["n"] >= max_segments) | (acc["words"] >= min_words)
-            | ((acc["n"] > 0) & (acc["words"] + x["wc"] > max_words))
+            | ((acc["n"] > 0) & (acc["words"] + x > max_words))
         )
         return F.when(stop, acc.withField("stop", F.lit(True))).otherwise(
-            F.struct((acc["n"] + 1).alias("n"), (acc["words"] + x["wc"]).alias("words"), F.lit(False).alias("stop"))
+            F.struct((acc["n"] + 1).alias("n"), (acc["words"] + x).alias("words"), F.lit(False).alias("stop"))
         )
 
     # words >= min is checked before the next segment; an empty block takes its first in any case
     first = F.get("a", F.lit(0))
-    seed = zero.withField("n", F.lit(1).cast("long")).withField("words", first["wc"])
+    seed = zero.withField("n", F.lit(1).cast("long")).withField("words", first)
     taken = F.aggregate(F.slice("a", 2, max_segments), seed, take)
     size = s.groupBy("job_id").agg(F.max("pos").alias("last"))
     edges = ahead.select("job_id", "pos", (F.col("pos") + taken["n"]).alias("nxt"))

@@ -39,6 +39,12 @@ def _across(key: Sequence[str]):
     return Window.partitionBy(*key).orderBy("_blk")
 
 
+def _attach(rows: DataFrame, summary: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Join block summaries to their rows. The window has already placed the rows by (key, block), so
+    only the summaries move, and each task hashes just its own few."""
+    return rows.join(summary.hint("shuffle_hash"), [*key, "_blk"])
+
+
 def pin(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once per row.
 
@@ -59,7 +65,7 @@ def neighbours(
     width: int = HOUR_MS,
 ) -> DataFrame:
     """Add struct columns holding ``fields`` of the previous and/or next row of the key."""
-    rows = _blocked(df, order, width)
+    rows = _blocked(cut(df), order, width)
     payload, rank = F.struct(*fields), F.struct(*order)
     inside, across = _inside(key, order), _across(key)
     edges = rows.groupBy(*key, "_blk").agg(
@@ -75,7 +81,7 @@ def neighbours(
         rows = rows.withColumn(prev, F.lag(payload).over(inside))
     if nxt:
         rows = rows.withColumn(nxt, F.lead(payload).over(inside))
-    rows = rows.join(edges, [*key, "_blk"])
+    rows = _attach(rows, edges, key)
     if prev:
         rows = rows.withColumn(prev, F.coalesce(prev, "_before"))
     if nxt:
@@ -92,6 +98,10 @@ def running(
     width: int = HOUR_MS,
 ) -> DataFrame:
     """Add inclusive running aggregates: ``{new_column: ("sum"|"max"|"min"|"count", column)}``."""
+    return _running(cut(df), key, order, aggs, width=width)
+
+
+def _running(df: DataFrame, key: Sequence[str], order: Sequence[str], aggs: dict, *, width: int) -> DataFrame:
     rows = _blocked(df, order, width)
     upto = _inside(key, order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = _across(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +112,7 @@ def running(
     )
     for n, (fn, c) in aggs.items():
         rows = rows.withColumn(n, _AGG[fn](c).over(upto))
-    rows = rows.join(carry, [*key, "_blk"])
+    rows = _attach(rows, carry, key)
     for n, (fn, _) in aggs.items():
         c = f"_c_{n}"
         if fn in ("sum", "count"):
@@ -129,7 +139,7 @@ def islands(
     width: int = HOUR_MS,
 ) -> DataFrame:
     """Number maximal runs (0-based) per key; ``starts(previous, current)`` says where a new run begins."""
-    rows = _blocked(df, order, width)
+    rows = _blocked(cut(df), order, width)
     inside = _inside(key, order)
     payload, rank = F.struct(*fields), F.struct(*order)
     rows = rows.withColumn("_cur", payload).withColumn("_prev", F.lag(payload).over(inside))
@@ -155,7 +165,7 @@ def islands(
         ).alias("_base"),
     )
     rows = rows.withColumn("_run", F.sum("_brk").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(edges, [*key, "_blk"]).withColumn(name, F.col("_base") + F.col("_run"))
+    rows = _attach(rows, edges, key).withColumn(name, F.col("_base") + F.col("_run"))
     return rows.drop("_blk", "_cur", "_prev", "_brk", "_run", "_base")
 
 
@@ -191,12 +201,28 @@ def lookahead(
     return rows.drop("_blk", "_home")
 
 
+def following(
+    df: DataFrame, key: Sequence[str], rank: str, field: str, n: int, name: str, *, width: int = ROWS
+) -> DataFrame:
+    """Add an array of ``field`` of this row and the next ``n`` by dense ``rank``; shorter at the end."""
+    rows = _blocked(df, [rank], width).withColumn("_home", F.col("_blk"))
+    near = F.col(rank) - F.col("_blk") * width < n
+    rows = rows.withColumn(
+        "_blk", F.explode(F.when(near, F.array("_blk", F.col("_blk") - 1)).otherwise(F.array("_blk")))
+    )
+    inside = _inside(key, [rank])
+    ahead = F.array(field, *[F.lead(field, i).over(inside) for i in range(1, n + 1)])
+    rows = rows.withColumn(name, ahead).where("_blk = _home")
+    return rows.withColumn(name, F.filter(name, lambda x: x.isNotNull())).drop("_blk", "_home")
+
+
 def first_beyond(probes: DataFrame, marks: DataFrame, key: Sequence[str], name: str, *, width: int = HOUR_MS) -> DataFrame:
     """For each probe (key, pos, threshold) the smallest mark pos whose level is greater than the threshold.
 
     ``marks`` is (key, pos, level) with level rising with pos. Both sides are merged on one axis and
     scanned once from the high end, so no pairs are formed.
     """
+    probes, marks = cut(probes), cut(marks)
     axis = probes.select(
         *key, (-F.col("threshold")).alias("_o"), F.lit(0).alias("_k"), F.col("pos").alias("_id"),
         F.lit(None).cast("long").alias("_m"),
@@ -206,7 +232,7 @@ def first_beyond(probes: DataFrame, marks: DataFrame, key: Sequence[str], name:
             F.col("pos").cast("long").alias("_m"),
         )
     )
-    seen = running(axis, key, ["_o", "_k"], {name: ("min", "_m")}, width=width)
+    seen = _running(axis, key, ["_o", "_k"], {name: ("min", "_m")}, width=width)
     return seen.where("_k = 0").select(*key, F.col("_id").alias("pos"), name)
 
 

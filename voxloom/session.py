@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+_HEAVY = ("Join", "Window", "Aggregate", "Sort", "Union", "Pandas", "EvalPython", "Distinct", "Deduplicate")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame that several later steps read, so none of them recomputes it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a frame that several later steps read to the shared folder, so none of them recomputes it.
+
+    A columnar table keeps column pruning and true sizes for the planner, and outlives lost executors.
+    A frame that only scans, filters and projects is returned as it is: reading it again is cheaper.
+    """
+    plan = df._jdf.queryExecution().analyzed().toString()
+    if not any(word in plan for word in _HEAVY):
+        return df
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/steps/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as tx
 from voxloom.operators import sentences as sent
+from voxloom.operators import state
 from voxloom.operators import timeline as tl
 from voxloom.operators import tts
 from voxloom.plans import sequences as seq
@@ -41,11 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     slot = (spark.sparkContext.applicationId, sf_dir, name)
     if slot not in _WRITTEN:
         path = f"{shared_dir(spark)}/derived/{spark.sparkContext.applicationId}/{abs(hash(sf_dir))}/{name}"
-        _BUILDERS[name](spark, sf_dir).write.mode("overwrite").parquet(path)
+        built = _BUILDERS[name](spark, sf_dir).repartition(_files(spark))
+        built.write.mode("overwrite").parquet(path)
         _WRITTEN[slot] = path
     return spark.read.parquet(_WRITTEN[slot])
 
 
+def _files(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @builder
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = raw(spark, sf_dir, "conversations")
@@ -246,6 +252,12 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@builder
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["created_ms", "partkey", "suppkey", "cents", "returnflag", "linestatus", "tax_pct"]
+    return state.latest_manifest(table(spark, sf_dir, "manifest"), ["job_id", "name"], order)
+
+
 @builder
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as recordings: lines are segments, words follow each other on a made-up clock."""
