@@ -199,10 +199,10 @@ def compact_silence(spark, sf):
 
 
 @query("db_to_linear", (), """
-SELECT event_id, CAST(round(pow(10.0::DOUBLE, (value-50)/20)*1000) AS BIGINT) AS gain_e3 FROM events""")
+SELECT event_id, CAST(round(pow(10.0::DOUBLE, (value%80-50)/20)*1000) AS BIGINT) AS gain_e3 FROM events""")
 def db_to_linear(spark, sf):
     return raw(spark, sf, "events").select(
-        "event_id", F.round(tts.db_to_linear(F.col("value") - 50) * 1000).cast("long").alias("gain_e3")
+        "event_id", F.round(tts.db_to_linear(F.col("value") % 80 - 50) * 1000).cast("long").alias("gain_e3")
     )
 
 
