@@ -6,6 +6,7 @@ deployment would keep its stage outputs, so operators scan columns instead of re
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table ``name``, built on first use."""
     slot = (spark.sparkContext.applicationId, sf_dir, name)
     if slot not in _WRITTEN:
-        path = f"{shared_dir(spark)}/derived/{spark.sparkContext.applicationId}/{abs(hash(sf_dir))}/{name}"
+        path = f"{shared_dir(spark)}/derived/{spark.sparkContext.applicationId}/{zlib.crc32(sf_dir.encode())}/{name}"
         built = _BUILDERS[name](spark, sf_dir).repartition(_files(spark))
         built.write.mode("overwrite").parquet(path)
         _WRITTEN[slot] = path
