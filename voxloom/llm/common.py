@@ -109,7 +109,7 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def in_slices(batches, rows: int = 256, size: int = 16 << 20):
+def in_slices(batches, rows: int = 256, size: int = 2 << 20):
     """Cut Arrow batches into pieces of at most ``rows`` rows and, unless one row is larger, about ``size`` bytes."""
     for batch in batches:
         at, n = 0, batch.num_rows

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import exact_dedup, mixing, shards
+from voxloom.llm import exact_dedup, jaccard, mixing, quality, shards
 from voxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,14 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     out = shards.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_quality_rules")
+def op2(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.quality(table(spark, sf_dir, "documents"), trusted)
+
+
+@query("op3_jaccard_join")
+def op3(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)

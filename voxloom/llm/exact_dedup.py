@@ -1,7 +1,8 @@
 """Exact duplicates by content sort.
 
-The text without ASCII blanks is the sort key. ``repartitionByRange`` samples splitters over (key, longer text first,
-smaller id first), so that even one text that makes up a third of all rows is spread over many partitions;
+The text without ASCII blanks is the key. Rows are ordered by the key's first ``HEAD`` characters, its hash, the whole key,
+longer text first, smaller id first. ``repartitionByRange`` samples splitters over that order without the whole key, so a
+splitter is short however long texts are, and even one text that makes up a third of all rows is spread over many partitions;
 each partition is sorted by Spark's external sort, which puts equal keys side by side, and a row is a copy when its whole
 key equals the key of the row before it. Runs that go on in the next partition are joined by the key's SHA-256.
 
@@ -13,12 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm.common import BLANKS, in_slices, keep, partitions
 
+HEAD = 64
+
 
 def _mark(batches: Iterator) -> Iterator:
     """Add the number of the run of equal keys within the partition, and whether the row starts it."""
@@ -45,15 +48,13 @@ def _mark(batches: Iterator) -> Iterator:
 def sorted_runs(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """The rows in content order: id, length, SHA-256 of the key, ``carry`` columns, partition, run in it, and first of the run."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.regexp_replace(text, BLANKS, "")
-    size, ident = F.length(text).cast("long"), F.col(id_col)
-    dealt = df.select(ident.alias("_id"), text.alias("_text"), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)]).repartitionByRange(
-        partitions(df.sparkSession), F.regexp_replace("_text", BLANKS, ""), F.length("_text").desc(), F.col("_id").asc_nulls_last()
-    )
+    plain = F.regexp_replace("_text", BLANKS, "")
+    order = [F.length("_text").desc(), F.col("_id").asc_nulls_last()]
+    dealt = df.select(F.col(id_col).alias("_id"), text.alias("_text"), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)])
+    dealt = dealt.repartitionByRange(partitions(df.sparkSession), F.substring(plain, 1, HEAD), F.xxhash64(plain), *order)
     rows = dealt.select(
-        "_id", F.length("_text").cast("long").alias("_size"), F.regexp_replace("_text", BLANKS, "").alias("_plain"), F.spark_partition_id().alias("_part"),
-        *[f"c_{i}" for i in range(len(carry))],
-    ).sortWithinPartitions("_plain", F.col("_size").desc(), F.col("_id").asc_nulls_last())
+        "_id", F.length("_text").cast("long").alias("_size"), plain.alias("_plain"), F.spark_partition_id().alias("_part"), *[f"c_{i}" for i in range(len(carry))]
+    ).sortWithinPartitions(F.substring("_plain", 1, HEAD), F.xxhash64("_plain"), "_plain", F.col("_size").desc(), F.col("_id").asc_nulls_last())
     rows = rows.withColumn("_sha", F.sha2("_plain", 256)).withColumn("_key", F.col("_plain").cast("binary")).drop("_plain")
     schema = T.StructType([f for f in rows.schema.fields if f.name != "_key"] + [T.StructField("_run", T.LongType()), T.StructField("_first", T.BooleanType())])
     return keep(rows.mapInArrow(_mark, schema))
