@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import exact_dedup, jaccard, mixing, quality, shards
+from voxloom.llm import exact_dedup, jaccard, mixing, pages, pieces, quality, secrets, shards, token_file, toxicity
 from voxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,33 @@ def op2(spark, sf_dir):
 @query("op3_jaccard_join")
 def op3(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query("op4_page_text")
+def op4(spark, sf_dir):
+    out = pages.page_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 4
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(part != 2))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_sentencepiece")
+def op7(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_files")
+def op10(spark, sf_dir):
+    return token_file.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

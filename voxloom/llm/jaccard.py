@@ -10,8 +10,9 @@ can differ in, so two linked sets agree wholly in at least one group, and each s
 hash of its shingles there. A set with too many empty groups for that argument (only small ones) also goes to the cells
 of its first shingles in hash order, as many as prefix filtering needs.
 
-Only components are asked for, so a cell is not expanded into pairs: its sets are first verified against the cell's smallest
-set, which joins most copies to it in linear work; a tree is built only in cells that still hold several components, in
+Only components are asked for, so a cell is not expanded into pairs: its sets are first verified against the cell's hub, the
+set that shares the most cells with others (the text that copies were made from agrees with each of them more than they do with
+one another), which joins most copies in linear work; a tree is built only in cells that still hold several components, in
 blocks of at most ``BLOCK`` points, and looks only for pairs of different components. Every such pair above the bound is verified,
 so no link between components is lost.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import in_slices, keep, mix, powers, utf8, words
 from voxloom.llm.components import components
 
-GROUPS = 64
+GROUPS = 128
 LEAF = 16
 BLOCK = 1_024
 
@@ -240,7 +241,7 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     docs = keep(slim.mapInArrow(_read("names", size, percent), f"_id {kind}, sid long, n long"))
     cells = slim.mapInArrow(_read("cells", size, percent), "sid long, cells array<long>").select(F.explode("cells").alias("cell"), "sid")
     one = Window.partitionBy("cell")
-    cells = keep(cells.withColumn("hub", F.min("sid").over(one)).withColumn("top", F.max("sid").over(one)).where("hub <> top").drop("top"))
+    cells = keep(cells.withColumn("low", F.min("sid").over(one)).withColumn("top", F.max("sid").over(one)).where("low <> top").select("cell", "sid").distinct())
 
     # sets in cells with others: read the text of one document of each again
     wanted = cells.select("sid").distinct()
@@ -248,7 +249,9 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     texts = slim.join(readers.hint("shuffle_hash"), slim["_id"] == readers["_reader"], "left_semi")
     sets = keep(texts.mapInArrow(_read("sets", size, percent), "sid long, n long, point array<int>, members array<long>").dropDuplicates(["sid"]))
 
-    stars = cells.where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    shared = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
+    hubs = cells.join(shared, "sid").groupBy("cell").agg(F.max(F.struct("shared", "sid")).alias("hub")).select("cell", F.col("hub.sid").alias("hub"))
+    stars = cells.join(hubs, "cell").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
     links = keep(_verified(stars, sets, percent))
     roots = components(links)
     more = keep(_verified(_rest(cells, roots, sets, percent), sets, percent))
