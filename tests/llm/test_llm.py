@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -310,11 +311,11 @@ def test_token_files(docs, texts):
         ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    odd = ["It's <|endoftext|> x", "ﬁ É   a\x85b", "<|startoftext|>", "don't\tstop\r\n12 3", ""]
+    odd = ["It's <|endoftext|> x", "ﬁ É   a\x85b", "<|startoftext|>", "don't\tstop\r\n12 3", "", "x\x01y \x01", None]
     tok = token_file.WordIds(WORDS)
-    values, offsets = tok.encode(odd, None)
+    values, offsets = tok.encode(pa.array(odd), None)
     for k, t in enumerate(odd):
-        assert values[offsets[k] : offsets[k + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert values[offsets[k] : offsets[k + 1]].tolist() == lib.encode(t or "", add_special_tokens=False).ids
 
 
 def test_words_round_trip():

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from voxloom.llm.common import in_slices
 
 MARK = "▁"
-REMEMBER = 200_000
+REMEMBER = 300_000
 #: Longest stretch whose result is remembered.
 SHORT = 48
 
@@ -79,7 +79,7 @@ class PieceModel:
     def compatible(self, a: str, b: str) -> bool:
         got = self.compatible_.get((a, b))
         if got is None:
-            if len(self.compatible_) > 2 * REMEMBER:
+            if len(self.compatible_) > REMEMBER:
                 self.compatible_.clear()
             got = self.compatible_[a, b] = self.merge(a + b) == [a, b]
         return got

@@ -15,6 +15,7 @@ order of their packed ids; an empty table gives an empty file set and result; ex
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,17 +31,25 @@ from voxloom.session import shared_dir
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
 ESCAPE = 15
 BLOCK = 256
-REMEMBER = 300_000
+REMEMBER = 450_000
 _U = np.uint64
+#: Parts words that are encoded together; words that hold it are encoded alone.
+PART = "\x01"
+#: Letters whose lower case and normal form are single characters, then marks that the tokenizer takes as one word (no apostrophe, no digit).
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@^`|~]*)")
+
+
+#: Bits of the numbers below 65536, at least 1.
+_SHORT_WIDTHS = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1.0))).astype(np.uint8)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value, at least 1."""
-    out = np.ones(len(values), np.uint8)
-    for k in (32, 16, 8, 4, 2, 1):
-        big = values >> _U(k) > 0
-        out[big] += k
-        values = np.where(big, values >> _U(k), values)
+    out = _SHORT_WIDTHS[(values & _U(0xFFFF)).astype(np.int64)]
+    for k in (16, 32, 48):
+        part = (values >> _U(k)) & _U(0xFFFF)
+        if part.any():
+            out = np.where(part > 0, _SHORT_WIDTHS[part.astype(np.int64)] + np.uint8(k), out)
     return out
 
 
@@ -61,16 +70,19 @@ def pack(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     left = np.repeat(end, end - start) - np.arange(n)
     chosen = np.full(n, 14, np.uint8)
     chosen[widths > 60] = ESCAPE
-    most, reach = widths.copy(), 1
+    # a run that fits a selector fits all of lower counts, so each selector is tried only where the one before it fitted
+    here, most, reach = np.arange(n), widths.copy(), 1
     for sel in range(13, 0, -1):
         count = int(COUNTS[sel])
-        while reach < count:  # most[i]: widest of the next `reach` values
-            np.maximum(most[:-reach], widths[reach:], out=most[: n - reach]) if reach < n else None
-            reach += 1
-        fit = (most <= 60 // count) & (left >= count)
-        if not fit.any():
+        fit = left[here] >= count
+        here, most = here[fit], most[fit]
+        for k in range(reach, count):
+            np.maximum(most, widths[here + k], out=most)
+        fit = most <= 60 // count
+        here, most, reach = here[fit], most[fit], count
+        if not len(here):
             break
-        chosen[fit] = sel
+        chosen[here] = sel
     at, starts = start, []
     while len(at):
         starts.append(at)
@@ -133,42 +145,80 @@ def unpack(words: np.ndarray) -> np.ndarray:
 class WordIds:
     """Ids of whole texts by a tokenizer whose words do not depend on the ASCII blanks and line ends around them.
 
-    Each distinct word is given to the library once and remembered, up to ``REMEMBER`` words per process.
+    Each distinct word is given to the library once and remembered, up to ``REMEMBER`` words and twice as many pieces of words per process.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.lib.token_to_id(self.mark)
+        (self.part_id,) = self.lib.encode(PART, add_special_tokens=False).ids
         self.seen: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     def learn(self, new: list[str]) -> None:
+        """Encode words that were not seen. A word of Latin letters and marks after them is two pieces that the tokenizer treats alone."""
         if len(self.seen) + len(new) > REMEMBER:
             self.seen.clear()
-        plain = [w for w in new if "<|" not in w]
-        for at in range(0, len(plain), 2048):
-            part = plain[at : at + 2048]
-            ids = np.array(self.lib.encode(self.mark.join(part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            edges = zip(np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist(), strict=True)
-            self.seen.update(zip(part, [ids[a:b].tobytes() for a, b in edges], strict=True))
+        simple, ask = [], set()
         for w in new:
-            if "<|" in w:
+            m = SIMPLE.fullmatch(w)
+            if m:
+                pair = (m[1].lower(), m[2])
+                simple.append((w, pair))
+                ask.update(p for p in pair if p and p not in self.pieces)
+            elif PART not in w and "<|" not in w:
+                simple.append((w, (w, "")))
+                ask.add(w)
+            else:
                 self.seen[w] = np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str], last: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids laid end to end, and the offset of each text; ``last`` is appended to each."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*split) - self.seen.keys()
+        if len(self.pieces) + len(ask) > 2 * REMEMBER:
+            self.pieces = {"": b""}
+            ask = {p for _, pair in simple for p in pair if p}
+        self._ask(list(ask))
+        pieces = self.pieces
+        self.seen.update((w, pieces[a] + pieces[b]) for w, (a, b) in simple)
+
+    def _ask(self, texts: list[str], step: int = 4096) -> None:
+        """Many texts in one call, parted by a character that is a word of its own."""
+        for at in range(0, len(texts), step):
+            part = texts[at : at + step]
+            (got,) = self.lib.encode_batch_fast([f" {PART} ".join(part)], add_special_tokens=False)
+            ids = np.array(got.ids, np.uint32)
+            cuts, flat = 4 * np.flatnonzero(ids == self.part_id), ids.tobytes()
+            edges = zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(flat)], strict=True)
+            self.pieces.update(zip(part, [flat[a:b] for a, b in edges], strict=True))
+
+    def encode(self, column, last: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column of texts laid end to end, and the offset of each text; ``last`` is appended to each."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(column, "")
+        lists = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " ")
+        coded = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()).dictionary_encode()
+        bounds = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        distinct, index = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        new = [w for w in distinct if w not in self.seen]
         if new:
-            self.learn(list(new))
-            if any(w not in self.seen for s in split for w in s):  # memory was cleared meanwhile
-                self.learn(list(set().union(*split) - self.seen.keys()))
-        get, end = self.seen.__getitem__, b"" if last is None else np.array([last], np.uint32).tobytes()
-        parts = [b"".join(map(get, s)) + end for s in split]
-        return np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
+            self.learn(new)
+            if len(self.seen) < len(distinct) or any(w not in self.seen for w in distinct):  # memory was cleared meanwhile
+                self.learn([w for w in distinct if w not in self.seen])
+        parts = [self.seen[w] for w in distinct]
+        table, sizes = np.frombuffer(b"".join(parts), np.uint32), np.array([len(p) // 4 for p in parts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        flat = table[np.arange(ends[-1]) + np.repeat(starts[index] - ends[:-1], counts)] if len(table) else np.zeros(0, np.uint32)
+        offsets = ends[bounds]
+        if last is None:
+            return flat, offsets
+        more = offsets + np.arange(len(offsets))
+        out = np.full(more[-1], last, np.uint32)
+        body = np.ones(more[-1], bool)
+        body[more[1:] - 1] = False
+        out[body] = flat
+        return out, more
 
 
 @functools.cache
@@ -187,8 +237,8 @@ def _encode(path: str, last: int | None, splits: np.ndarray):
         import pyarrow as pa
 
         tok = word_ids(path)
-        for batch in in_slices(batches, 1 << 20):
-            values, offsets = tok.encode(batch.column(1).to_pylist(), last)
+        for batch in in_slices(batches, 1 << 20, 8 << 20):
+            values, offsets = tok.encode(batch.column(1), last)
             words, lists, blocks, first = pack(values, offsets)
             raw, marks = words.astype("<u8").tobytes(), blocks.astype("<u4").tobytes()
             ids = batch.column(0)
