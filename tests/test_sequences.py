@@ -95,3 +95,52 @@ def test_chase_by_levels(spark, block):
     e = spark.createDataFrame(edges, "job_id long, pos long, nxt long").repartition(4)
     got = seq.chase(e, K, block=block).collect()
     assert len(got) == len(want) and {(r.job_id, r.pos) for r in got} == want
+
+
+def test_sessions_of_recordings_that_arrive_in_different_triggers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from voxloom.streaming import jobs as sj
+
+    schema = "job_id long, recorded_at timestamp, start_ms long, end_ms long"
+    for job in (1, 2, 3):
+        w = spark.range(6).select(
+            F.lit(job).cast("long").alias("job_id"), F.timestamp_millis(F.lit(job * 7_200_000)).alias("recorded_at"),
+            (F.col("id") * 1_000_000).alias("start_ms"), (F.col("id") * 1_000_000 + 300).alias("end_ms"),
+        )
+        w.write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sj.run_to_files(sj.speech_sessions(s), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("job_id").count().collect()
+    assert {r["job_id"]: r["count"] for r in got} == {1: 6, 2: 6, 3: 5}  # the last session is still open
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    import types
+
+    import pytest as pt
+
+    from voxloom import session
+
+    assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")
+    context = types.SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pt.raises(RuntimeError):
+        session.shared_dir(types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_embedded_json_is_found_beside_other_brackets(spark):
+    from voxloom.operators import glossary as gl
+
+    rows = [(1, 0, 'Here {note}: [{"original":"dx"}] done {ok}'), (1, 1, 'see {"terms":[{"original":"a}b"}]} end')]
+    got = gl.response_terms(spark.createDataFrame(rows, "job_id long, block_index long, content string")).collect()
+    assert {(r.block_index, r.way, r.term) for r in got} == {(0, "embedded", '{"original":"dx"}'), (1, "embedded", '{"original":"a}b"}')}
+
+
+def test_suggestions_are_appended(spark):
+    from voxloom.operators import review as rv
+
+    segs = spark.createDataFrame([(1, "s1", []), (1, "s2", ["x"])], "job_id long, segment_id string, risk_flags array<string>")
+    new = lambda c, s: spark.createDataFrame([(1, s, c, "n", 0.5)], "job_id long, segment_id string, candidate_id string, suggested_normalized string, confidence double")
+    got = {r.segment_id: r for r in rv.attach_suggestions(rv.attach_suggestions(segs, new("c1", "s1")), new("c2", "s1")).collect()}
+    assert [x.candidate_id for x in got["s1"].normalization_suggestions] == ["c1", "c2"]
+    assert got["s2"].normalization_suggestions is None and got["s2"].risk_flags == ["x"]

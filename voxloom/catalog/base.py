@@ -88,13 +88,13 @@ SELECT job_id, CAST(isl AS BIGINT) AS interval_no, min(start_ms) AS start_ms, ma
  SELECT *, sum(CASE WHEN start_ms-pe>=250 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY start_ms) AS isl FROM (
   SELECT *, lag(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms) AS pe FROM words)) GROUP BY job_id, isl""")
 cte("glossary_raw", ("words",), r"""
-SELECT 'term_'||lpad(pos::VARCHAR,4,'0') AS term_id, *, 'term' AS category FROM (
+SELECT 'term_'||printf('%04d',pos) AS term_id, *, 'term' AS category FROM (
  SELECT CASE WHEN k=1 THEN token ELSE upper(token) END AS original,
   CASE WHEN k=1 THEN (40+rank%50)/100.0::DOUBLE ELSE (30+rank%70)/100.0::DOUBLE END AS confidence, 2*rank-2+k AS pos,
   reverse(token) AS vietnamese, rank%9=0 AS protected, rank%4<>0 AS locked, rank
  FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rank FROM (
    SELECT lower(text) AS token, count(*) AS n FROM words WHERE regexp_matches(lower(text),'^[a-z]{4,}$') GROUP BY 1
-   ORDER BY n DESC, token LIMIT 60)), (VALUES (1),(2)) v(k))""")
+   )), (VALUES (1),(2)) v(k))""")
 cte("terms", ("glossary_raw",), "SELECT * FROM glossary_raw WHERE pos%2=1")
 cte("translations", ("segments",), r"""
 SELECT job_id, chunk_id, segment_id, CASE WHEN k=0 THEN '' WHEN k=1 THEN concat_ws(' ',t,t,t,t) WHEN k=2 THEN '   '

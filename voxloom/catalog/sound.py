@@ -350,8 +350,8 @@ def review_time_label(spark, sf):
 # --- heard speech ----------------------------------------------------------------------------
 
 cte("heard", ("segments", "words"), r"""
-SELECT s.job_id, s.segment_id, any_value(regexp_replace(s.source_text,'[^ -~]','','g')) AS expected,
- coalesce(regexp_replace(string_agg(CASE WHEN pos%13=0 THEN w.text||' '||w.text ELSE w.text END,' ' ORDER BY pos) FILTER (pos%11<>0),'[^ -~]','','g'),'') AS heard
+SELECT s.job_id, s.segment_id, any_value(s.source_text) AS expected,
+ coalesce(string_agg(CASE WHEN pos%13=0 THEN w.text||' '||w.text ELSE w.text END,' ' ORDER BY pos) FILTER (pos%11<>0),'') AS heard
 FROM segments s JOIN words w ON s.job_id=w.job_id AND s.chunk_id=w.chunk_id GROUP BY s.job_id, s.segment_id""")
 
 
@@ -362,15 +362,18 @@ def _heard(spark, sf):
         lambda x, i: F.when((i + 1) % 11 == 0, F.lit(None)).when((i + 1) % 13 == 0, F.concat_ws(" ", x, x)).otherwise(x),
     )
     h = F.array_join(F.filter(t, lambda x: x.isNotNull()), " ")
-    return s.select(
-        "job_id", "segment_id", F.regexp_replace("source_text", "[^ -~]", "").alias("expected"),
-        F.regexp_replace(h, "[^ -~]", "").alias("heard"),
-    )
+    return s.select("job_id", "segment_id", F.col("source_text").alias("expected"), h.alias("heard"))
+
+
+# the check's edit distance counts bytes, so each letter beyond ASCII stands as one unused byte there
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = "||".join(f"chr({k})" for k in [*range(1, 9), *range(14, 14 + len(LETTERS) - 8)])
 
 
-@query("char_error_rate", ("heard",), """
+@query("char_error_rate", ("heard",), f"""
 SELECT job_id, segment_id, d AS distance, CAST((d*2000000+n)//(2*n) AS BIGINT) AS cer_e6 FROM (
- SELECT *, levenshtein(replace(expected,' ',''),replace(heard,' ','')) AS d, greatest(1,length(replace(expected,' ',''))) AS n FROM heard)""")
+ SELECT *, levenshtein(translate(replace(expected,' ',''),'{LETTERS}',{_BYTES}),translate(replace(heard,' ',''),'{LETTERS}',{_BYTES})) AS d,
+  greatest(1,length(replace(expected,' ',''))) AS n FROM heard)""")
 def char_error_rate(spark, sf):
     return hd.char_error_rate(_heard(spark, sf))
 

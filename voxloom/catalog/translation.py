@@ -49,9 +49,8 @@ def merge_glossary_forbidden(spark, sf):
 
 
 @query("shared_glossary", ("scoped",), """
-SELECT s.batch_id, s.job_id, t.* EXCLUDE (batch_id) FROM (SELECT DISTINCT batch_id, job_id FROM scoped) s JOIN (
- SELECT batch_id, lower(original) AS term_key, arg_max(term_id, row(protected,confidence,-pos2)) AS term_id, bool_or(locked) AS locked, count(DISTINCT job_id) AS n_jobs
- FROM (SELECT *, pos+job_id*100000 AS pos2 FROM scoped) GROUP BY ALL) t ON s.batch_id=t.batch_id""")
+SELECT batch_id, lower(original) AS term_key, arg_max(term_id, row(protected,confidence,-pos2)) AS term_id, bool_or(locked) AS locked, count(DISTINCT job_id) AS n_jobs
+ FROM (SELECT *, pos+job_id*100000 AS pos2 FROM scoped) GROUP BY ALL""")
 def shared_glossary(spark, sf):
     from voxloom.operators import state as st
 
@@ -59,6 +58,13 @@ def shared_glossary(spark, sf):
     return st.shared_glossary(t)
 
 
+@query("batch_recordings", ("scoped",), "SELECT DISTINCT batch_id, job_id FROM scoped")
+def batch_recordings(spark, sf):
+    from voxloom.operators import state as st
+
+    return st.batch_recordings(_scoped_terms(spark, sf))
+
+
 def _span_rows(spark, sf):
     """Two-letter words as stand-in notation spans, found the same way in both engines."""
     w = table(spark, sf, "words").where(F.rlike("text", F.lit("^[A-Za-z]{2}$")))
@@ -105,7 +111,7 @@ def _raw_terms(spark, sf):
 
 
 @query("normalize_terms", ("glossary_raw",), """
-SELECT pos%5 AS job_id, pos%3 AS block_index, pos AS term_index, CASE WHEN pos%4=3 THEN term_id ELSE 'term_'||lpad((pos%3)::VARCHAR,2,'0')||'_'||lpad(pos::VARCHAR,4,'0') END AS term_id,
+SELECT pos%5 AS job_id, pos%3 AS block_index, pos AS term_index, CASE WHEN pos%4=3 THEN term_id ELSE 'term_'||lpad((pos%3)::VARCHAR,2,'0')||'_'||printf('%04d',pos) END AS term_id,
  original, CASE WHEN pos%4=1 THEN vietnamese ELSE '' END AS vietnamese, CASE WHEN pos%4=3 THEN 'name' ELSE 'term' END AS category,
  CASE pos%4 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN confidence ELSE 1.0::DOUBLE END AS confidence, TRUE AS locked FROM glossary_raw WHERE pos%4<>2""")
 def normalize_terms(spark, sf):
@@ -138,9 +144,10 @@ def response_terms(spark, sf):
     return gl.response_terms(_answers(spark, sf))
 
 
-cte("applies", ("segments", "terms"), rf"""
-SELECT s.job_id, s.segment_id, t.term_id, t.original, t.vietnamese, t.locked FROM segments s, terms t
-WHERE regexp_matches(lower(s.source_text), '(^|[^\p{{L}}\p{{N}}_])'||t.original||'($|[^\p{{L}}\p{{N}}_])')""")
+# every term is one whole word of letters, so it applies where it is a word of the text
+cte("applies", ("segments", "terms"), r"""
+SELECT s.job_id, s.segment_id, t.term_id, t.original, t.vietnamese, t.locked FROM (
+ SELECT DISTINCT job_id, segment_id, unnest(regexp_extract_all(lower(source_text), '[\p{L}\p{N}_]+')) AS tok FROM segments) s JOIN terms t ON t.original=s.tok""")
 cte("lacking", ("applies", "translations"), """
 SELECT a.job_id, a.segment_id, a.term_id, a.original FROM applies a JOIN translations t ON a.job_id=t.job_id AND a.segment_id=t.segment_id
 WHERE a.locked AND NOT contains(lower(t.vi_text), a.vietnamese)""")

@@ -102,7 +102,12 @@ def response_terms(responses: DataFrame) -> DataFrame:
     """
     c = F.trim("content")
     fenced = F.regexp_extract(c, r"(?s)^```[^\n]*\n(?:json)?\s*(.*?)\s*\n[^\n]*```$", 1)
-    embedded = F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1)
+    # the first opening bracket from which some text up to a closing one is JSON, and the shortest such text; one answer, a few brackets
+    places = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    opens = F.filter(places, lambda i: F.substr(c, i, F.lit(1)).isin("{", "["))
+    closes = F.filter(places, lambda i: F.substr(c, i, F.lit(1)).isin("}", "]"))
+    spans = F.flatten(F.transform(opens, lambda a: F.transform(F.filter(closes, lambda b: b > a), lambda b: F.substr(c, a, b - a + 1))))
+    embedded = F.coalesce(F.get(F.filter(spans, lambda t: F.try_parse_json(t).isNotNull()), F.lit(0)), F.lit(""))
     parsed = F.coalesce(F.try_parse_json(c), F.try_parse_json(F.nullif(fenced, F.lit(""))), F.try_parse_json(F.nullif(embedded, F.lit(""))))
     way = (
         F.when(F.try_parse_json(c).isNotNull(), "json")
@@ -143,8 +148,11 @@ def applicable_terms(segments: DataFrame, terms: DataFrame, scope: list[str] | N
     """
     scope = scope or []
     word = rf"({tx.WORD}+)"
-    t = terms.withColumn("tok", F.regexp_extract(F.lower("original"), word, 1))
-    toks = F.array_union(F.regexp_extract_all(F.lower("source_text"), F.lit(word), F.lit(1)), F.array(F.lit("")))
+    first = F.regexp_extract(F.lower("original"), word, 1)
+    # a term without any word is found by its first symbol, so no key is shared by all segments
+    t = terms.withColumn("tok", F.when(first != "", first).otherwise(F.substring(F.trim("original"), 1, 1)))
+    marks = F.array_distinct(F.filter(F.split(F.regexp_replace("source_text", rf"{tx.WORD}|\\s", ""), ""), lambda x: x != ""))
+    toks = F.array_union(F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit(word), F.lit(1))), marks)
     s = segments.select("job_id", "segment_id", *[k for k in scope if k != "job_id"], F.explode(toks).alias("tok"))
     cand = s.join(t, [*scope, "tok"]).drop("tok")
     cand = cand.join(segments.select("job_id", "segment_id", "source_text"), ["job_id", "segment_id"])

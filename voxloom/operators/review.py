@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import rules
 from voxloom.plans import sequences as seq
+from voxloom.session import cut
 
 JOB = ["job_id"]
 CUE = ["job_id", "cue_id"]
@@ -134,15 +135,18 @@ def accepted_suggestions(suggestions: DataFrame, candidates: DataFrame) -> DataF
 
 
 def attach_suggestions(segments: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Count and join suggestions per segment and flag the segment once."""
+    """Join suggestions per segment, after those it already carries, and flag the segment once."""
     s = suggestions.where("trim(segment_id) <> ''").groupBy("job_id", "segment_id").agg(
         # answers to one segment's few candidates
-        F.array_sort(F.collect_list(F.struct("candidate_id", "suggested_normalized", "confidence"))).alias("normalization_suggestions")
+        F.array_sort(F.collect_list(F.struct("candidate_id", "suggested_normalized", "confidence"))).alias("_new")
     )
     flag = F.array(F.lit("source_normalization_llm_suggestion"))
     j = segments.join(s, ["job_id", "segment_id"], "left")
-    has = F.col("normalization_suggestions").isNotNull()
-    return j.withColumn("risk_flags", F.when(has, F.array_union("risk_flags", flag)).otherwise(F.col("risk_flags")))
+    has = F.col("_new").isNotNull()
+    old = F.coalesce("normalization_suggestions", F.array().cast(s.schema["_new"].dataType)) if "normalization_suggestions" in segments.columns else None
+    got = F.col("_new") if old is None else F.when(has, F.concat(old, "_new")).otherwise(F.col("normalization_suggestions"))
+    flags = F.when(has, F.array_union("risk_flags", flag)).otherwise(F.col("risk_flags"))
+    return j.withColumns({"normalization_suggestions": got, "risk_flags": flags}).drop("_new")
 
 
 def cue_set_checksum(cues: DataFrame, columns: list[str], *, width: int = seq.HOUR_MS, fan_in: int = 1024) -> DataFrame:
@@ -153,9 +157,12 @@ def cue_set_checksum(cues: DataFrame, columns: list[str], *, width: int = seq.HO
     row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
     r = seq.ranked(cues, JOB, ORDER, "rn", width=width).select("job_id", (F.col("rn") - 1).alias("i"), row.alias("h"))
     total = r.groupBy("job_id").agg(F.count("*").alias("cues"))
-    for _ in range(3):
+    while True:
         r = r.groupBy("job_id", F.expr(f"i div {fan_in}").alias("i2")).agg(
             F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("i", "h")))["h"], ""), 256).alias("h")
         ).withColumnRenamed("i2", "i")
-    top = r.groupBy("job_id").agg(F.max_by("h", "i").alias("cue_set_checksum"), F.count("*").alias("tops"))
+        r = cut(r)
+        if r.where("i > 0").isEmpty():
+            break
+    top = r.groupBy("job_id").agg(F.max("h").alias("cue_set_checksum"))
     return top.join(total, "job_id").select("job_id", "cue_set_checksum", "cues")

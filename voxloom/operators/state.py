@@ -162,12 +162,16 @@ def drop_artifacts(artifacts: DataFrame, resets: DataFrame, *, preserve_checkpoi
 
 
 def shared_glossary(terms: DataFrame) -> DataFrame:
-    """Terms of all recordings of a batch merged once and handed back to each of its recordings."""
+    """Terms of all recordings of a batch merged once, one row per batch and term; recordings find them by their batch."""
     merged = gl.merge_glossary(terms, ["batch_id"])
     spread = terms.select("batch_id", "job_id", F.lower(F.trim("original")).alias("term_key")).distinct()
     n = spread.groupBy("batch_id", "term_key").agg(F.count("*").alias("n_jobs"))
-    m = merged.join(n, ["batch_id", "term_key"]).select("batch_id", "term_key", "term_id", "locked", "n_jobs")
-    return spread.select("batch_id", "job_id").distinct().join(m, "batch_id")
+    return merged.join(n, ["batch_id", "term_key"]).select("batch_id", "term_key", "term_id", "locked", "n_jobs")
+
+
+def batch_recordings(terms: DataFrame) -> DataFrame:
+    """Which recordings share a batch's terms."""
+    return terms.select("batch_id", "job_id").distinct()
 
 
 def union_transcripts(parts: list[DataFrame]) -> DataFrame:

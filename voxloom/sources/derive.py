@@ -142,7 +142,7 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def glossary_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "words").select("job_id", F.lower("text").alias("token"))
     w = w.where(F.rlike("token", F.lit("^[a-z]{4,}$")))
-    top = w.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(60)
+    top = w.groupBy("token").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
     top = top.withColumn("rank", rank.cast("long"))
     r = F.col("rank")

@@ -41,13 +41,16 @@ def stream_result(spark: SparkSession, out: str) -> DataFrame:
 
 
 def speech_sessions(words: DataFrame, *, pause_threshold_ms: int = 250, late: str = "10 minutes") -> DataFrame:
-    """Speech intervals of a word stream (job_id, ts, start_ms, end_ms).
+    """Speech intervals of a word stream (job_id, recorded_at, start_ms, end_ms).
 
+    Event time is the wall clock, the recording's start plus the word's offset: a recording that begins after another one ended
+    is not late, whatever its offsets. A word is late when the stream has seen words more than ``late`` after it.
     A session ends when nothing starts before its last end plus the threshold. Spark also joins
     sessions that only touch, hence one millisecond less.
     """
     gap = F.concat((F.col("end_ms") - F.col("start_ms") + (pause_threshold_ms - 1)).cast("string"), F.lit(" milliseconds"))
-    w = words.withWatermark("ts", late)
+    ts = F.timestamp_micros(F.unix_micros("recorded_at") + F.col("start_ms") * 1000)
+    w = words.withColumn("ts", ts).withWatermark("ts", late)
     s = w.groupBy("job_id", F.session_window("ts", gap).alias("s")).agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("word_count")
     )
