@@ -118,15 +118,15 @@ def absorb_short(
     ).drop("grp")
 
 
-def _inside(gaps: DataFrame, intervals: DataFrame, bucket_ms: int) -> DataFrame:
-    """(job, iv, a, b): parts of gaps inside intervals, joined by time bucket."""
+def _inside(gaps: DataFrame, intervals: DataFrame, bucket_ms: int, whole: bool) -> DataFrame:
+    """(job, iv, a, b): parts of gaps inside intervals, joined by time bucket; with ``whole`` only gaps that begin and end inside."""
     def spread(df: DataFrame, a: str, b: str) -> DataFrame:
         last = F.greatest(F.col(a), F.col(b) - 1)
         return df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / bucket_ms), F.floor(last / bucket_ms))))
 
     g = spread(gaps.select("job_id", F.col("start_ms").alias("gs"), F.col("end_ms").alias("ge")), "gs", "ge")
     v = spread(intervals.select("job_id", "iv", F.col("start_ms").alias("vs"), F.col("end_ms").alias("ve")), "vs", "ve")
-    hit = g.join(v, ["job_id", "_b"]).where("ge > vs AND gs < ve")
+    hit = g.join(v, ["job_id", "_b"]).where("gs >= vs AND ge <= ve" if whole else "ge > vs AND gs < ve")
     hit = hit.where(F.floor(F.greatest("gs", "vs") / bucket_ms) == F.col("_b"))
     return hit.select("job_id", "iv", F.greatest("gs", "vs").alias("a"), F.least("ge", "ve").alias("b"))
 
@@ -162,7 +162,7 @@ def split_long(
     v = cut(v.withColumn("long", F.col("end_ms") - F.col("start_ms") > limit))
     key = ["job_id", "iv"]
     long = v.where("long")
-    g = _inside(gaps, long, width)
+    g = _inside(gaps, long, width, whole=midpoints)
     g = g.withColumn("t", F.floor((F.col("a") + F.col("b")) / 2) if midpoints else F.col("b"))
     g = cut(seq.ranked(g, key, ["t", "a"], "k", width=width))
     ends = long.select(*key, F.col("end_ms").alias("ve"))
@@ -232,6 +232,7 @@ def split_long(
     path = seq.chase(edges, key).join(nodes, [*key, "pos"])
     soft = "vad_silero_pause_split" if midpoints else "vad_silence_split"
     hard = "vad_silero_hard_split" if midpoints else "vad_hard_split"
+    rest, uncut = ("vad_silero", "vad_silero") if midpoints else ("rest", "whole")
     # a run of hard cuts becomes that many pieces
     step = F.when(F.col("hards") > 0, F.sequence(F.lit(0).cast("long"), F.col("hards") - 1)).otherwise(F.array(F.lit(0).cast("long")))
     p = path.join(ends, key).withColumn("h", F.explode(step))
@@ -240,10 +241,10 @@ def split_long(
     whole = F.col("nt").isNull()
     pieces = p.select(
         "job_id", at.alias("start_ms"), stop.alias("end_ms"),
-        F.when(F.col("hards") > 0, hard).when(whole, "rest").otherwise(soft).alias("reason"),
+        F.when(F.col("hards") > 0, hard).when(whole, rest).otherwise(soft).alias("reason"),
         F.when(F.col("hards") > 0, "hard_split").when(whole & F.col("active"), "segment_over_hard_max").otherwise("").alias("flag"),
     )
-    short = v.where("NOT long").select("job_id", *ORDER, F.lit("whole").alias("reason"), F.lit("").alias("flag"))
+    short = v.where("NOT long").select("job_id", *ORDER, F.lit(uncut).alias("reason"), F.lit("").alias("flag"))
     return short.unionByName(pieces.where("end_ms > start_ms"))
 
 
