@@ -1,7 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Byte ``GRAM``-grams are hashed into ``BUCKETS`` counters. Two multinomials are counted over whole texts, one over the trusted
-documents and one over all documents (every document counts, with add-``SMOOTH`` smoothing). A document's score is the mean over its
+Byte ``GRAM``-grams are hashed into ``BUCKETS`` counters. Two multinomials are counted over whole texts with add-``SMOOTH`` smoothing: one is
+fitted on trusted documents (at most ``TRUSTED_ROWS``, those with the smallest hash of their id, so that texts need not move),
+one counts every document of the corpus. A document's score is the mean over its
 n-grams of log p_target - log p_raw; it is kept when the score is at least ``threshold``. Nothing is drawn at random.
 The two tables of ``BUCKETS`` numbers are all that reaches the driver and the tasks, whatever the size of the corpus.
 
@@ -26,6 +27,7 @@ from voxloom.llm.common import code_points, in_slices, mix, powers, sums, utf8,
 GRAM = 3
 BUCKETS = 1 << 16
 SMOOTH = 1.0
+TRUSTED_ROWS = 20_000
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 THRESHOLD = -0.35
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -135,8 +137,11 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 
 def ratio_table(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    ids = trusted.select(F.col(trusted.columns[0]).alias(id_col)).distinct()
-    return log_ratio(gram_counts(df.select(id_col, text_col).join(ids, id_col, "left_semi"), text_col), gram_counts(df, text_col))
+    """The log ratio, the target fitted on at most ``TRUSTED_ROWS`` trusted documents, the raw side counted over all documents."""
+    ids = trusted.select(F.col(trusted.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(TRUSTED_ROWS)
+    target = df.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")  # at most TRUSTED_ROWS ids
+    return log_ratio(gram_counts(target, text_col), gram_counts(df, text_col))
 
 
 def quality(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
