@@ -3,7 +3,7 @@
 A document is a bag of sentences. A sentence's score is a logistic function of its distinct words and their beginnings, hashed; a document's is their
 noisy-or, 1 - prod(1 - p). Only document labels are known; fitting the noisy-or to them teaches the model which sentences offend,
 and ``locate`` returns those. The model is fitted on at most ``FIT_ROWS`` labelled documents, the ones with the smallest hash of their
-id (a documented bound: the fit runs on the driver over arrays of word hashes, a few hundred numbers a document);
+id (a documented bound: Spark counts their words and picks the telling ones; the fit runs on the driver over those, a few numbers a sentence);
 every document is scored whole.
 
 Edge cases: null texts and texts without words have one sentence without words and get the model's floor as score; without
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import in_slices
+from voxloom.llm.common import in_slices, keep
 
 BUCKETS = 1 << 18
 FIT_ROWS = 8_000
@@ -81,31 +81,26 @@ class Model:
         return float(self.floor + (1 - self.floor) * p)
 
 
-def fit(bags: list[list[np.ndarray]], labels: np.ndarray) -> Model:
+def telling(docs: np.ndarray, positive: np.ndarray, rows: int, share: float) -> np.ndarray:
+    """Buckets whose share of label 1 stands out, by the normal approximation of the binomial, from ``LEAST_DOCS`` documents on."""
+    z = (positive - docs * share) / np.sqrt(np.maximum(docs, 1) * max(share * (1 - share), 1e-12))
+    return np.flatnonzero((docs >= LEAST_DOCS) & (np.abs(z) > 4)) if rows else np.zeros(0, np.int64)
+
+
+def fit(bags: list[bytes], labels: np.ndarray, chosen: np.ndarray = np.zeros(0, np.int64)) -> Model:  # noqa: B008
     """Fit sentence weights to document labels: full-gradient Adam on the noisy-or's log-likelihood.
 
+    A bag is a document's sentences as 32-bit numbers: places in ``chosen``, and -1 at the end of each sentence.
     ``floor`` is the chance of label 1 without any offending sentence (label noise): it keeps such documents from bending the weights.
     """
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), -30.0, float(y.mean()) if len(y) else 0.0)
-    sentence_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    flat = [s for b in bags for s in b]
-    lengths = np.array([len(s) for s in flat])
-    word = np.concatenate(flat).astype(np.int64)
-    row = np.repeat(np.arange(len(flat)), lengths)
-    pair = np.unique(sentence_of[row] * BUCKETS + word)
-    docs = np.bincount(pair % BUCKETS, minlength=BUCKETS)
-    positive = np.bincount(pair % BUCKETS, weights=y[pair // BUCKETS], minlength=BUCKETS)
-    # words whose label share stands out: by the normal approximation of the binomial
-    share = y.mean()
-    z = (positive - docs * share) / np.sqrt(np.maximum(docs, 1) * share * (1 - share))
-    chosen = np.flatnonzero((docs >= LEAST_DOCS) & (np.abs(z) > 4))
-    column = np.full(BUCKETS, -1)
-    column[chosen] = np.arange(len(chosen))
-    use = column[word] >= 0
-    col, row = column[word[use]], row[use]
-    n_sent, n_docs = len(flat), len(bags)
+    flat = np.frombuffer(b"".join(bags), np.int32)
+    ends = flat == -1
+    sentence_of = np.repeat(np.arange(len(bags)), [len(b) // 4 for b in bags])[ends]
+    col, row = flat[~ends], np.cumsum(ends)[~ends]
+    n_sent, n_docs = len(sentence_of), len(bags)
     w, b, f = np.zeros(len(chosen)), -6.0, np.log(0.05)
     m, v = np.zeros(len(chosen) + 2), np.zeros(len(chosen) + 2)
     for step in range(1, EPOCHS + 1):
@@ -128,31 +123,58 @@ def fit(bags: list[list[np.ndarray]], labels: np.ndarray) -> Model:
     return Model(weights, float(b), float(1 / (1 + np.exp(-f))))
 
 
-def _bags(batches: Iterator) -> Iterator:
+def _tally(batches: Iterator) -> Iterator:
+    """Documents, and documents of label 1, that each bucket occurs in; the last bucket counts all documents."""
     import pyarrow as pa
 
+    docs, positive = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
     for batch in in_slices(batches, 1 << 20):
-        out = []
-        for text in batch.column(0).to_pylist():
-            out.append(b"".join(np.array([k for w in set(s.split()) for k in features(w)] + [-1], np.int32).tobytes() for s in sentences(text or "")))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["bag", "label"])
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen = list({k for w in set((text or "").split()) for k in features(w)}) + [BUCKETS]
+            docs[seen] += 1
+            positive[seen] += label
+    seen = np.flatnonzero(docs)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(docs[seen]), pa.array(positive[seen])], ["bucket", "docs", "positive"])
+
+
+def _bags(chosen: np.ndarray):
+    """Bags of the chosen buckets only, as ``fit`` takes them."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        place = {int(k): i for i, k in enumerate(chosen)}
+        for batch in in_slices(batches, 1 << 20):
+            out = []
+            for text in batch.column(0).to_pylist():
+                said = ([place[k] for w in sorted(set(s.split())) for k in features(w) if k in place] for s in sentences(text or ""))
+                out.append(np.array([k for s in said for k in (*s, -1)], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], ["bag", "label", "place"])
+
+    return run
 
 
 def train(df: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most ``rows`` labelled documents. Rows without id or label are left out of the fit."""
+    """Fit on at most ``rows`` labelled documents. Rows without id or label are left out of the fit.
+
+    Word counts are added up by Spark; the driver gets ``BUCKETS`` sums and, per document, only the buckets that tell labels apart.
+    """
     picked = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(rows)
     )
-    sample = df.join(F.broadcast(picked), df[id_col] == picked["_id"]).select(df[id_col].alias("_id"), text_col, "_label")  # at most `rows` rows of two numbers
-    sample = sample.select(text_col, F.col("_label").alias("label"), "_id").orderBy("_id", text_col).drop("_id")
-    got = sample.mapInArrow(_bags, "bag binary, label int").toArrow()
-    bags, y = [], np.array(got.column("label").to_pylist(), np.int64)
-    for bag in got.column("bag").to_pylist():
-        words = np.frombuffer(bag, np.int32)
-        cuts = np.flatnonzero(words == -1)
-        bags.append([words[a:b] for a, b in zip(np.append(0, cuts[:-1] + 1), cuts, strict=True)])
-    return fit(bags, y)
+    sample = df.join(F.broadcast(picked), df[id_col] == picked["_id"])  # at most `rows` rows of two numbers
+    sample = keep(sample.select(df[text_col].alias("_text"), F.col("_label").alias("label"), F.xxhash64(df[id_col]).alias("place")))
+    parts = sample.mapInArrow(_tally, "bucket int, docs long, positive long").groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("positive").alias("positive"))
+    sums = parts.toArrow()  # at most BUCKETS + 1 rows
+    docs, positive = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+    for out, name in ((docs, "docs"), (positive, "positive")):
+        out[sums.column("bucket").to_numpy()] = sums.column(name).to_numpy()
+    n = int(docs[-1])
+    chosen = telling(docs[:-1], positive[:-1], n, positive[-1] / max(n, 1))
+    got = sample.mapInArrow(_bags(chosen), "bag binary, label int, place long").collect()
+    got.sort(key=lambda r: (r["place"], r["bag"], r["label"]))  # the order of summation, whatever the partitions
+    return fit([bytes(r["bag"]) for r in got], np.array([r["label"] for r in got], np.int64), chosen)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
