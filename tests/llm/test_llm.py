@@ -356,6 +356,19 @@ def test_pipeline_stage_by_stage(spark, docs):
     assert outs[4].count() == len(rows[3])
 
 
+def test_stages_keep_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 9) for _ in range(n))
+    base, own = words(60), words(60)
+    rows = [(3, base, None), (5, base + " end", "a"), (5, own, "a"), (None, words(60), "a"), (9, base + " fin", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()}
+    assert kept == {r[:2] for r in rows[:4]}
+    mixed = mixing.mix(df).collect()
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.source_mix(spark, df, SF).collect()]
+    assert len(got) == sum(r.copies for r in mixed) and len(mixed) == len(rows)
+
+
 def test_queries_run(spark):
     for name in QUERIES:
         assert QUERIES[name](spark, SF).limit(1).count() == 1

@@ -266,6 +266,10 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
 
 
 def one_of_each(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: of each component the row with the smallest id. Rows without id stay."""
-    gone = jaccard_components(df, size, percent, id_col, text_col).where(f"{id_col} <> component_id").select(F.col(id_col).alias("_gone"))
+    """The rows that stay, with all their columns: of each component the row with the smallest id. Rows without id stay.
+
+    Rows that share an id go only if all of them would, so that no text is lost with another that has its id.
+    """
+    found = jaccard_components(df, size, percent, id_col, text_col)
+    gone = found.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_and(F.col(id_col) != F.col("component_id")).alias("_all")).where("_all").select("_gone")
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

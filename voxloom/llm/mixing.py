@@ -68,7 +68,7 @@ def _ranked(sizes: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("_source", "_part").orderBy(*order))
     rows = placed.withColumn("_rank", rank)
     same = rows["_source"].eqNullSafe(counts["_source"]) & (rows["_part"] == counts["_part"])
-    return rows.join(counts, same).select(rows["_id"], rows["_source"], "size", (F.col("_rank") + F.col("_before")).alias("_rank"))
+    return rows.join(counts, same).select(rows["_id"], rows["_source"], "size", "_tie", (F.col("_rank") + F.col("_before")).alias("_rank"))
 
 
 def copies(rate, rank, phase):
@@ -79,7 +79,9 @@ def copies(rate, rank, phase):
 def mix(
     df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """One row per document: id, ``source``, ``size`` (words), ``source_size``, ``target``, ``rate``, ``copies`` and ``taken`` (copies * size).
+    """One row per document: id, ``source``, ``size`` (words), ``source_size``, ``target``, ``rate``, ``copies``, ``taken`` (copies * size) and ``text_hash``.
+
+    ``text_hash`` (``xxhash64`` of the text, null as empty) tells rows of equal ids apart.
 
     ``cap`` bounds a source's target and, with it, a document's copies (rounded up). Nothing is random: reruns agree.
     """
@@ -102,5 +104,6 @@ def mix(
     done = rows.join(near, rows["_source"].eqNullSafe(near["_source"])).drop(near["_source"])
     done = done.withColumn("copies", copies(F.col("_unit"), F.col("_rank"), F.col("_phase")).cast("long"))
     return done.select(
-        F.col("_id").alias(id_col), F.col("_source").alias("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        F.col("_id").alias(id_col), F.col("_source").alias("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        F.col("_tie").alias("text_hash"),
     )
