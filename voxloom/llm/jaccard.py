@@ -231,6 +231,13 @@ def _rest(cells: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     return rows.groupBy("cell", "x", "y").applyInPandas(_search(percent), "a long, b long").distinct()
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
+
+
 def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links, itself included.
 
@@ -251,12 +258,16 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
 
     shared = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
     hubs = cells.join(shared, "sid").groupBy("cell").agg(F.max(F.struct("shared", "sid")).alias("hub")).select("cell", F.col("hub.sid").alias("hub"))
-    stars = cells.join(hubs, "cell").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    links = keep(_verified(stars, sets, percent))
-    roots = components(links)
-    more = keep(_verified(_rest(cells, roots, sets, percent), sets, percent))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    pair = [F.col("sid").alias("a"), F.col("hub").alias("b")]
+    stars = keep(cells.join(hubs, "cell").where("sid <> hub").groupBy(*pair).agg(F.count(F.lit(1)).alias("times")))
+    # first the hub that a set meets most often, then the others that are not joined with it by now: members move once for most sets
+    best = keep(stars.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    roots = components(keep(_verified(best, sets, percent)))
+    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    others = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
+    others = others.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    roots = _joined(roots, keep(_verified(others, sets, percent)))
+    roots = _joined(roots, keep(_verified(_rest(cells, roots, sets, percent), sets, percent)))
 
     named = docs.join(roots, docs["sid"] == roots["node"], "left").select("_id", "n", F.coalesce("root", "sid").alias("root"))
     linked = named.where("n > 0")
