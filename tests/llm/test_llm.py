@@ -135,6 +135,22 @@ def test_jaccard(docs, texts, size, percent):
     assert got == plain.components(texts, size, percent)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_jaccard_linked_sets_share_a_cell(percent):
+    rng, schemes, linked = np.random.default_rng(percent), jaccard.Schemes(percent, 2_000), 0
+    for _ in range(4_000):
+        n = int(rng.choice([rng.integers(2, 20), rng.integers(20, 200), rng.integers(200, 1_500)]))
+        pool = rng.integers(0, 2**63, 2 * n, dtype=np.uint64) * np.uint64(2)
+        a = np.unique(pool[:n])
+        gone, more = rng.integers(0, n // 3 + 1, 2)
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[gone:]], pool[n : n + more]]))
+        shared = len(np.intersect1d(a, b))
+        if shared * 100 >= percent * (len(a) + len(b) - shared) and len(a) + len(b) > 2 * shared:
+            linked += 1
+            assert len(np.intersect1d(jaccard.cell_keys(a, schemes), jaccard.cell_keys(b, schemes)))
+    assert linked > 100
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_jaccard_short_and_edited(spark, percent):
     rng = random.Random(percent)

@@ -5,14 +5,16 @@ set's shingles per group are its point. Two sets share at most the sum over grou
 boxes of an R-tree) whose bound is below what the threshold asks for is dropped, and the pairs that survive are verified on the sets.
 
 Points in that many dimensions spread too evenly for one tree over a corpus to prune anything, so the join first deals
-the sets to cells without losing a pair: sets of nearly one size are cut into more hash groups than two linked sets
-can differ in, so two linked sets agree wholly in at least one group, and each set goes to one cell per group, named by the
-hash of its shingles there. A set with too many empty groups for that argument (only small ones) also goes to the cells
-of its first shingles in hash order, as many as prefix filtering needs.
+the sets to cells without losing a pair: sets of like size are cut into more hash groups than two linked sets can differ in.
+A group's shingles name a cell. Cells have one order for all sets, those of most shingles first; two linked sets differ
+in at most d groups, so the first cell that they share is among the first d + 1 of both, and a set goes to these only.
+A set with too few groups for that argument (only small ones) also goes to the cells of its first shingles in hash order,
+as many as prefix filtering needs.
 
 Only components are asked for, so a cell is not expanded into pairs: its sets are first verified against the cell's hub, the
 set that shares the most cells with others (the text that copies were made from agrees with each of them more than they do with
-one another), which joins most copies in linear work; a tree is built only in cells that still hold several components, in
+one another), which joins most copies in linear work: each set first against the hub that it meets most often, then against
+those hubs that are not yet in its component. A tree is built only in cells that still hold several components, in
 blocks of at most ``BLOCK`` points, and looks only for pairs of different components. Every such pair above the bound is verified,
 so no link between components is lost.
 
@@ -73,24 +75,35 @@ class Schemes:
     """Size classes and, per class, the number of groups that two linked sets cannot differ in all of.
 
     Class k starts at ``starts[k]``; linked sets lie in one class or in neighbouring ones. Scheme k serves the pairs whose
-    smaller set is in class k; its sets are those of classes k and k + 1.
+    smaller set is in class k; its sets are those of class k and the sets of class k + 1 that a set of class k may be linked with.
     """
 
     def __init__(self, percent: int, largest: int):
         self.percent = percent
         self.starts = [1]
         while self.starts[-1] <= largest:
-            self.starts.append(self.starts[-1] * 100 // percent + 1)
-        self.starts.append(self.starts[-1] * 100 // percent + 1)
+            self.starts.append(self.above(self.above(self.starts[-1])))
+        self.starts.append(self.above(self.above(self.starts[-1])))
 
-    def of(self, n: int) -> list[int]:
-        k = int(np.searchsorted(self.starts, n, "right")) - 1
-        return [k - 1, k] if k else [k]
+    def above(self, n: int) -> int:
+        """The least size that no set of size n is linked with."""
+        return n * 100 // self.percent + 1
+
+    def apart(self, a: int, b: int) -> int:
+        """Most shingles in which linked sets of these sizes can differ."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def differ(self, k: int) -> int:
-        """Most shingles in which a pair of scheme k can differ."""
+    def groups(self, k: int) -> int:
         small = self.starts[k + 1] - 1
-        return (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+        most = self.apart(small, self.above(small) - 1)
+        return most + 3 + most // 16
+
+    def of(self, n: int) -> list[tuple[int, int]]:
+        """The schemes of a set of n shingles, each with the number of groups in which a linked set can differ from it."""
+        k = int(np.searchsorted(self.starts, n, "right")) - 1
+        own = [(k, self.apart(n, self.above(n) - 1))]
+        below = self.starts[k] - 1
+        return [*own, (k - 1, self.apart(n, below))] if k and below * 100 >= self.percent * n else own
 
 
 def cell_keys(s: np.ndarray, schemes: Schemes) -> np.ndarray:
@@ -102,16 +115,14 @@ def cell_keys(s: np.ndarray, schemes: Schemes) -> np.ndarray:
     keys, weak = [], False
     with np.errstate(over="ignore"):
         content = mix(s ^ np.uint64(0x14057B7EF767814F))
-        for k in schemes.of(n):
-            differ = schemes.differ(k)
-            groups = differ + 3 + differ // 16
-            group = ((s >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
+        for k, differ in schemes.of(n):
+            group = ((s >> np.uint64(8)) % np.uint64(schemes.groups(k))).astype(np.int64)
             order = np.argsort(group, kind="stable")
             starts = np.flatnonzero(np.diff(group[order], prepend=-1))
-            present = group[order][starts]
-            weak |= len(present) <= differ
-            name = mix(np.array([k * 0x9E3779B1 + 1], np.uint64)) + present.astype(np.uint64)
-            keys.append(mix(np.add.reduceat(content[order], starts) + mix(name)))
+            weak |= len(starts) <= differ
+            name = mix(np.array([k * 0x9E3779B1 + 1], np.uint64)) + group[order][starts].astype(np.uint64)
+            cells = mix(np.add.reduceat(content[order], starts) + mix(name))
+            keys.append(cells[np.lexsort((cells, -np.diff(starts, append=n)))[: differ + 1]])
         if weak:
             first = n - (schemes.percent * n + 99) // 100 + 1
             keys.append(mix(s[:first] + np.uint64(0x2545F4914F6CDD1D)))
@@ -132,7 +143,7 @@ def _lists(parts: list[np.ndarray], kind):
 
 
 def _read(what: str, size: int, percent: int):
-    """A function of Arrow batches (id, text) that gives names and sizes, cells, or whole sets with their points."""
+    """A function of Arrow batches (id, text) that gives names and sizes, cells, texts by name, or points."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -149,23 +160,51 @@ def _read(what: str, size: int, percent: int):
                 if schemes.starts[-2] <= longest:
                     schemes = Schemes(percent, longest)
                 yield _frame({"sid": names, "cells": _lists([cell_keys(s, schemes) for s in sets], pa.int64())})
+            elif what == "texts":
+                yield _frame({"sid": names, "text": batch.column(1)})
             else:
                 points = [np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]
-                yield _frame({"sid": names, "n": counts, "point": _lists(points, pa.int32()), "members": _lists(sets, pa.int64())})
+                yield _frame({"sid": names, "n": counts, "point": _lists(points, pa.int32()), "text": batch.column(1)})
+
+    return run
+
+
+def _linked(size: int, percent: int):
+    """A function of Arrow batches (a, text of a, b, text of b) that gives the linked pairs (a, b)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in in_slices(batches, size=4 << 20):
+            # rows come in runs of one b
+            b = batch.column(2).to_numpy()
+            heads = np.flatnonzero(np.concatenate([np.ones(1, bool), b[1:] != b[:-1]]))
+            right = shingle_sets(batch.column(3).take(pa.array(heads)), size)
+            of = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(b)))
+            good = []
+            for x, k in zip(shingle_sets(batch.column(1), size), of, strict=True):
+                y = right[k]
+                good.append(len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= (len(x) + len(y)) * percent)
+            yield _frame({"a": batch.column(0), "b": batch.column(2)}).filter(pa.array(good))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names that are linked: first the points' bound, then the sets."""
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("members").alias("ma"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("members").alias("mb"))
-    points = pairs.join(left.drop("ma"), "a").join(right.drop("mb"), "b")
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set names whose points' bound allows a link."""
+    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
     bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    likely = points.where(bound * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-    shared = F.size(F.array_intersect("ma", "mb"))
-    both = likely.join(left.select("a", "na", "ma"), "a").join(right.select("b", "nb", "mb"), "b")
-    return both.where(shared * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    points = pairs.join(left, "a").join(right, "b")
+    return points.where(bound * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that are linked. Texts are moved, as they are smaller than their sets of hashes."""
+    left = sets.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
+    right = sets.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "ta", "b", "tb")
+    return both.mapInArrow(_linked(size, percent), "a long, b long")
 
 
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +270,13 @@ def _rest(cells: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     return rows.groupBy("cell", "x", "y").applyInPandas(_search(percent), "a long, b long").distinct()
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
+
+
 def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links, itself included.
 
@@ -243,20 +289,22 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     one = Window.partitionBy("cell")
     cells = keep(cells.withColumn("low", F.min("sid").over(one)).withColumn("top", F.max("sid").over(one)).where("low <> top").select("cell", "sid").distinct())
 
-    # sets in cells with others: read the text of one document of each again
-    wanted = cells.select("sid").distinct()
-    readers = docs.groupBy("sid").agg(F.min("_id").alias("_id")).join(wanted, "sid").select(F.col("_id").alias("_reader"))
-    texts = slim.join(readers.hint("shuffle_hash"), slim["_id"] == readers["_reader"], "left_semi")
-    sets = keep(texts.mapInArrow(_read("sets", size, percent), "sid long, n long, point array<int>, members array<long>").dropDuplicates(["sid"]))
+    # sets in cells with others: one text of each
+    texts = slim.mapInArrow(_read("texts", size, percent), "sid long, text string").dropDuplicates(["sid"])
+    texts = texts.join(cells.select("sid").distinct(), "sid", "left_semi").select("sid", "text")
+    sets = keep(texts.mapInArrow(_read("sets", size, percent), "sid long, n long, point array<int>, text string"))
 
     shared = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
-    hubs = cells.join(shared, "sid").groupBy("cell").agg(F.max(F.struct("shared", "sid")).alias("hub")).select("cell", F.col("hub.sid").alias("hub"))
-    stars = cells.join(hubs, "cell").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    links = keep(_verified(stars, sets, percent))
-    roots = components(links)
-    more = keep(_verified(_rest(cells, roots, sets, percent), sets, percent))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+    stars = cells.join(shared, "sid").withColumn("hub", F.max(F.struct("shared", "sid")).over(one)).where("sid <> hub.sid")
+    stars = keep(stars.groupBy(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+    # first the hub that a set meets most often, then the others that are not joined with it by now: most texts move once
+    best = keep(stars.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    roots = components(keep(_verified(_likely(best, sets, percent), sets, size, percent)))
+    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    others = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
+    others = others.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    roots = _joined(roots, keep(_verified(_likely(others, sets, percent), sets, size, percent)))
+    roots = _joined(roots, keep(_verified(_rest(cells, roots, sets, percent), sets, size, percent)))
 
     named = docs.join(roots, docs["sid"] == roots["node"], "left").select("_id", "n", F.coalesce("root", "sid").alias("root"))
     linked = named.where("n > 0")
