@@ -295,8 +295,9 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     sets = keep(texts.mapInArrow(_read("sets", size, percent), "sid long, n long, point array<int>, text string"))
 
     shared = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
-    stars = cells.join(shared, "sid").withColumn("hub", F.max(F.struct("shared", "sid")).over(one)).where("sid <> hub.sid")
-    stars = keep(stars.groupBy(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+    hubs = cells.join(shared, "sid").groupBy("cell").agg(F.max(F.struct("shared", "sid")).alias("hub")).select("cell", F.col("hub.sid").alias("hub"))
+    stars = cells.join(hubs, "cell").where("sid <> hub")
+    stars = keep(stars.groupBy(F.col("sid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("times")))
     # first the hub that a set meets most often, then the others that are not joined with it by now: most texts move once
     best = keep(stars.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     roots = components(keep(_verified(_likely(best, sets, percent), sets, size, percent)))
