@@ -129,6 +129,18 @@ def test_quality(spark, docs, texts):
     assert sum(got[i].kept for i, q in labels.items() if q == 1) >= 0.95 * sum(got[i].base_failed is False for i, q in labels.items() if q == 1)
 
 
+@pytest.mark.parametrize("step", [7, 20_000, 1_000_000])
+def test_quality_counts_every_trusted_document(spark, monkeypatch, step):
+    n = 20_000 if step > 7 else 20
+    monkeypatch.setattr(quality, "SLICE", step)
+    df = spark.range(n + 30).selectExpr("id AS doc_id", f"IF(id < {n}, 'abcd', 'жук') AS text")
+    ids = df.select("doc_id")
+    trusted = ids.unionAll(ids).unionAll(spark.createDataFrame([(None,), (n + 99,)], "doc_id long"))
+    # all are trusted, so both multinomials are the same
+    assert not quality.ratio_table(df, trusted, "doc_id", "text").any()
+    assert quality.gram_counts(df, "text").sum() == 2 * n + 4 * 30
+
+
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 50)])
 def test_jaccard(docs, texts, size, percent):
     got = {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard.jaccard_components(docs, size, percent)).items()}

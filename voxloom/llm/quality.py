@@ -1,10 +1,10 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Byte ``GRAM``-grams are hashed into ``BUCKETS`` counters. Two multinomials are counted over whole texts with add-``SMOOTH`` smoothing: one is
-fitted on trusted documents (at most ``TRUSTED_ROWS``, those with the smallest hash of their id, so that texts need not move),
-one counts every document of the corpus. A document's score is the mean over its
+counted over every trusted document, one over every document of the corpus. Trusted ids come in hash slices of about ``SLICE``, each broadcast
+to a pass of its own over the texts, which so need not move; the slices' counters add up. A document's score is the mean over its
 n-grams of log p_target - log p_raw; it is kept when the score is at least ``threshold``. Nothing is drawn at random.
-The two tables of ``BUCKETS`` numbers are all that reaches the driver and the tasks, whatever the size of the corpus.
+Two tables of ``BUCKETS`` numbers and one slice of ids at a time reach the driver and the tasks, whatever the size of the corpus.
 
 Beside the score stand counts of plain rules: words, characters in words, symbols, repeated lines and words in repeated 8-word
 windows; a document with fewer than ``MIN_WORDS`` words or over ``MAX_REPEAT`` percent repeated words is rejected without a look at its score.
@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.common import code_points, in_slices, mix, powers, sums, utf8, words
+from voxloom.llm.common import code_points, in_slices, keep, mix, powers, sums, utf8, words
 
 GRAM = 3
 BUCKETS = 1 << 16
 SMOOTH = 1.0
-TRUSTED_ROWS = 20_000
+#: Trusted ids broadcast at a time.
+SLICE = 1_000_000
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 THRESHOLD = -0.35
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -136,12 +137,22 @@ def measure(column, table: np.ndarray, threshold: float) -> dict[str, np.ndarray
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
 
 
-def ratio_table(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """The log ratio, the target fitted on at most ``TRUSTED_ROWS`` trusted documents, the raw side counted over all documents."""
+def target_counts(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Counts of all n-grams of all trusted documents; the ids are broadcast by hash slices, so texts stay where they lie."""
     ids = trusted.select(F.col(trusted.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(TRUSTED_ROWS)
-    target = df.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")  # at most TRUSTED_ROWS ids
-    return log_ratio(gram_counts(target, text_col), gram_counts(df, text_col))
+    slices = max(1, -(-ids.count() // SLICE))
+    if slices > 1:
+        ids = keep(ids)
+    out = np.zeros(BUCKETS, np.int64)
+    for k in range(slices):
+        part = ids.where(F.pmod(F.xxhash64(id_col), F.lit(slices)) == k)
+        out += gram_counts(df.select(id_col, text_col).join(F.broadcast(part), id_col, "left_semi"), text_col)
+    return out
+
+
+def ratio_table(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """The log ratio, the target counted over all trusted documents, the raw side over all documents."""
+    return log_ratio(target_counts(df, trusted, id_col, text_col), gram_counts(df, text_col))
 
 
 def quality(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
