@@ -108,3 +108,24 @@ def base_spans(text):
             if size >= (8, 16, 32)[k]:
                 out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
     return [s for _, _, s in sorted(out)]
+
+
+def without_repeats(pages, run=8, least=3):
+    """Texts of one host's pages, each (id, blocks), without windows of ``run`` tokens on other pages and short blocks on ``least``."""
+    on = {}
+    for i, blocks in pages:
+        for words in map(str.split, blocks):
+            for k in range(max(len(words) - run + 1, 1)):
+                on.setdefault(tuple(words[k : k + run]), set()).add((i, " ".join(blocks)))
+    n = {k: min(len({i for i, _ in v}), len({s for _, s in v})) for k, v in on.items()}
+    out = []
+    for _, blocks in pages:
+        kept = []
+        for words in map(str.split, blocks):
+            if len(words) < run:
+                kept += [" ".join(words)] * (n[tuple(words)] < least)
+                continue
+            gone = {k + j for k in range(len(words) - run + 1) if n[tuple(words[k : k + run])] > 1 for j in range(run)}
+            kept.append(" ".join(w for j, w in enumerate(words) if j not in gone))
+        out.append("\n".join(k for k in kept if k))
+    return out

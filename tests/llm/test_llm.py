@@ -217,6 +217,27 @@ def test_pages_without_a_main_part(spark):
     assert got[9] == "Home About Contact News Sport Weather Travel Shop Help Terms\nLegal"
 
 
+def test_repeats_of_a_whole_host(spark):
+    rng = random.Random(6)
+    word = lambda: "w" + str(rng.randrange(10**9))
+    stock = [" ".join(word() for _ in range(n)) for n in (1, 3, 7, 8, 9, 12, 20) for _ in range(20)]
+    host = []
+    for k in range(1_000):
+        blocks = [" ".join(word() for _ in range(rng.randint(1, 15))) for _ in range(2)]
+        # a notice on two pages far apart, passages on a few pages, alone and inside other text
+        blocks += [f"notice {k % 500} that only two of all pages of this host have"] + [" ".join(rng.choice([[s], [word(), s, word()]])) for s in rng.sample(stock, rng.randint(0, 2))]
+        host.append((k, blocks))
+    # copies under other ids, the same tokens in other blocks, rows of one id, one row twice
+    own = [" ".join(word() for _ in range(30)), "short block"]
+    host += [(2_000 + k, own) for k in range(4)] + [(2_010, [" ".join(own)]), (2_020, [own[0] + " a"]), (2_020, [own[0] + " b"]), host[0]]
+    alone = [(3_000, ["only here " * 8 + "x"]), (3_001, ["only here " * 8 + "x"]), (3_002, ["only here " * 8 + "x"])]
+    rows = [(i, f"http://{h}.example/{i}", "".join(f"<p>{b}</p>" for b in x)) for h, g in (("a", host), ("b", alone)) for i, x in g]
+    got = sorted((r.page_id, r.text) for r in pages.page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    want = [(i, t) for g in (host, alone) for (i, _), t in zip(g, plain.without_repeats(g))]
+    assert got == sorted(want)
+    assert not any("notice" in t for _, t in got) and dict(got)[3_001] == "only here " * 8 + "x"
+
+
 def test_exact(docs, texts, awkward):
     got = {i: (r.keep_id, r.group_size, r.kept, r.text_sha256) for i, r in by_id(exact_dedup.exact_dedup(docs)).items()}
     assert got == plain.exact(texts)
