@@ -319,6 +319,30 @@ def test_secrets(spark, docs, texts):
         assert want in r.spans if want else not any(k in r.spans for k in ("der", "openssh", "token", "assign")), (i, r)
 
 
+def test_keys_over_lines():
+    value = lambda tag, data: bytes([tag, 0x82]) + len(data).to_bytes(2, "big") + data
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    der = [value(0x30, value(2, b"\0") + value(2, bytes(k % 251 + 1 for k in range(n)))) for n in (200, 201, 202, 1_190)]
+    ssh = [b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"pub") + field(b"private" * n) for n in (9, 40, 41)]
+    for k, data in [(3, d) for d in der] + [(4, d) for d in ssh]:
+        for width in (64, 70, 76, 10_000):
+            for padded in (True, False):
+                coded = base64.b64encode(data).decode()
+                lines = [coded[i : i + width] for i in range(0, len(coded), width)]
+                if not padded:
+                    lines = [x for x in (x.rstrip("=") for x in lines) if x]
+                for end in ("\n", "\r\n", "\\n", "\\r\\n", "\n    ", "\n\t", " \n"):
+                    body = end.join(lines)
+                    for before, after in (("", ""), ("our key" + end, end + "word and more"), ("-----BEGIN KEY-----" + end, end + "-----END KEY-----" + end), ('{"key": "', '"}'), ("abc" + end, end + "abc" + end)):
+                        text = (before + body + after).encode()
+                        assert secrets.confirmed_spans(text) == [(len(before), k, len(before) + len(body))], text
+                # the lengths inside must end with a run
+                assert secrets.confirmed_spans(("\n".join(lines)[:-3]).encode()) == []
+                assert secrets.confirmed_spans(("\n".join(lines).rstrip("=") + "abc").encode()) == []
+    two = "\n".join(base64.b64encode(d).decode() for d in der[:2])
+    assert [s[1] for s in secrets.confirmed_spans(two.encode())] == [3, 3]
+
+
 def test_shards(spark, docs, texts):
     got = shards.shard(docs, 16).toPandas()
     size = {i: len((t or "").encode()) + 1 for i, t in texts}

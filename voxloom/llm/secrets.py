@@ -2,7 +2,8 @@
 
 Plain rules find assignments, access keys and long hexadecimal runs. The method adds what it can prove by decoding: runs of base64 or
 hexadecimal characters whose bytes are a DER sequence with all nested lengths in order and a key's integers inside, OpenSSH private
-keys whose length-prefixed fields fill the blob, and signed tokens (three dotted base64url parts) whose header is a JSON object naming an algorithm.
+keys whose length-prefixed fields fill the blob (base64 may go on over lines, indented or not, broken by line ends or by a literal \\n; the
+lengths inside tell where a key ends, which must be the end of a run), and signed tokens (three dotted base64url parts) whose header is a JSON object naming an algorithm.
 
 Offsets are code points, the end exclusive. Candidate texts are found by array passes over the bytes of a batch (runs long
 enough, or a keyword); only these are searched with patterns, whole.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -32,7 +34,12 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{32,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LONG_HEX = re.compile(rb"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
-LONG_64 = re.compile(rb"(?<![A-Za-z0-9+/])[A-Za-z0-9+/](?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/=])){38,}={0,2}")
+LEAST_64 = 39
+RUN_64 = re.compile(rb"[A-Za-z0-9+/]++")
+# how a DER sequence and an OpenSSH key begin in base64
+START_64 = re.compile(rb"(?<![A-Za-z0-9+/])(?:M[B-I]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]")
+BREAK = re.compile(rb"[ \t]*+\r?\n[ \t]*+")
+ESCAPED_BREAK = re.compile(rb"(?:\\++r)?\\++n|\\++r")
 DOTTED = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 _BYTE = np.arange(256)
@@ -98,23 +105,34 @@ def is_der_key(data: bytes) -> bool:
     return body.count(2) >= 2 or 6 in body and (3 in body or 4 in body) or 2 in body and 4 in body
 
 
-def is_openssh_key(data: bytes) -> bool:
+def openssh_length(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key that ``data`` begins with, by its fields; None if there is none."""
     magic = b"openssh-key-v1\x00"
     if not data.startswith(magic):
-        return False
+        return None
     at, fields = len(magic), 0
     while at + 4 <= len(data) and fields < 3:  # cipher, key derivation, its options
         at += 4 + int.from_bytes(data[at : at + 4], "big")
         fields += 1
     if fields < 3 or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     for _ in range(min(keys, 16) + 1):
         if at + 4 > len(data):
-            return False
+            return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data) and keys > 0
+    return at if keys > 0 else None
+
+
+def der_length(data: bytes) -> int | None:
+    """Bytes of the DER sequence that ``data`` begins with, by its outer length; None if there is none."""
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    if not data[1] & 0x80:
+        return 2 + data[1]
+    size = data[1] & 0x7F
+    return 2 + size + int.from_bytes(data[2 : 2 + size], "big") if 1 <= size <= 4 else None
 
 
 def is_token_header(part: bytes) -> bool:
@@ -125,12 +143,54 @@ def is_token_header(part: bytes) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
-def _decoded(run: bytes) -> bytes | None:
-    run = re.sub(rb"[\r\n]", b"", run).rstrip(b"=")
-    try:
-        return base64.b64decode(run + b"=" * (-len(run) % 4), validate=True)
-    except (ValueError, binascii.Error):
-        return None
+def _decoded(run: bytes) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + b"=" * (-len(run) % 4))
+
+
+def base64_keys(text: bytes) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of keys in base64, on one line or over consecutive lines that hold nothing else."""
+    if b"\\" in text:
+        text = ESCAPED_BREAK.sub(lambda m: b"\n".rjust(len(m[0])), text)
+    out: list[tuple[int, int, int]] = []
+    starts, ends, total, chars, done = [], [], [0], b"", 0
+    for m in START_64.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if not ends or at >= ends[-1]:
+            # the run that begins here and all that go on with it at the next line's beginning
+            starts, ends, total, parts, to = [], [], [0], [], at
+            while run := RUN_64.match(text, to):
+                starts.append(run.start())
+                ends.append(run.end())
+                parts.append(run[0])
+                total.append(total[-1] + len(run[0]))
+                if not (line := BREAK.match(text, run.end())):
+                    break
+                to = line.end()
+            chars = b"".join(parts)
+        first = bisect.bisect_left(starts, at)
+        begin = total[first]
+        if chars[begin : begin + 1] == b"M":
+            kind, n = 3, der_length(_decoded(chars[begin : begin + 8]))
+        else:
+            kind, n = 4, openssh_length(_decoded(chars[begin:]))
+        if n is None:
+            continue
+        need = (n * 4 + 2) // 3
+        last = bisect.bisect_left(total, begin + need)
+        if need < LEAST_64 or last == len(total) or total[last] != begin + need:
+            continue  # more than there is, or an end within a run
+        data = _decoded(chars[begin : begin + need])
+        if len(data) == n and (kind == 4 or is_der_key(data)):
+            end = ends[last - 1]
+            line, pad = BREAK.match(text, end), b"=" * (-need % 4)
+            if pad and line and text.startswith(pad, line.end()):
+                end = line.end()
+            done = end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip(b"="))
+            out.append((at, kind, done))
+    return out
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -146,14 +206,7 @@ def confirmed_spans(text: bytes) -> list[tuple[int, int, int]]:
     for m in LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0].decode())):
             out.append((m.start(), 3, m.end()))
-    for m in LONG_64.finditer(text):
-        data = _decoded(m[0])
-        if data is not None:
-            if is_der_key(data):
-                out.append((m.start(), 3, m.end()))
-            elif is_openssh_key(data):
-                out.append((m.start(), 4, m.end()))
-    return out + [(m.start(), 5, m.end()) for m in DOTTED.finditer(text) if is_token_header(m[1])]
+    return out + base64_keys(text) + [(m.start(), 5, m.end()) for m in DOTTED.finditer(text) if is_token_header(m[1])]
 
 
 def _told(spans: list[tuple[int, int, int]], points: np.ndarray | None) -> str:
