@@ -26,3 +26,9 @@ def test_every_check_has_a_query():
 @pytest.mark.parametrize("name", QUICK)
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, name, SF).startswith("ok")
+
+
+def test_segments_from_whole_cues(spark, con):
+    assert compare(spark, con, "segment_from_whole_cues", SF).startswith("ok")
+    got = QUERIES["segment_from_whole_cues"](spark, SF).toPandas()["display_text"]
+    assert got.str.contains("[A-Z]").any() and got.str.contains("[a-z]").any() and got.str.contains("[.,?!]").any()

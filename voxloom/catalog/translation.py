@@ -332,6 +332,20 @@ def segment_from_cues(spark, sf):
     return tn.segment_from_cues(s, _linked(spark, sf))
 
 
+cte("whole_link", ("cue_link", "cues"), """
+SELECT l.* EXCLUDE (display_text), c.source_text AS display_text FROM cue_link l JOIN cues c ON l.job_id=c.job_id AND l.cue_id=c.cue_id""")
+
+
+@query("segment_from_whole_cues", ("whole_link", "segments"), """
+SELECT s.job_id, s.segment_id, coalesce(t,'') AS display_text, coalesce(n,0) AS n_cues FROM segments s LEFT JOIN (
+ SELECT job_id, segment_id, trim(string_agg(trim(display_text),' ' ORDER BY start_ms, cue_id)) AS t, count(*) AS n FROM (
+  SELECT *, bool_or(ord=owner) OVER (PARTITION BY job_id, segment_id) AS has FROM whole_link) WHERE ord=owner OR NOT has GROUP BY ALL) g ON s.job_id=g.job_id AND s.segment_id=g.segment_id""")
+def segment_from_whole_cues(spark, sf):
+    """As ``segment_from_cues``, the cues' texts whole: capitals, digits, points and all letters."""
+    s = table(spark, sf, "segments").withColumn("ord", F.col("chunk_id"))
+    return tn.segment_from_cues(s, _linked(spark, sf).withColumn("display_text", F.col("source_text")))
+
+
 def _edited_segments(spark, sf):
     """Segments with an edit of their first word and a suggestion on every second one."""
     s = table(spark, sf, "segments")
