@@ -1,7 +1,7 @@
 """Mixing sources to target weights by entropy balancing.
 
 Every document gets a rate; among all rates whose tokens add up to each source's target, the ones closest to 1 in relative
-entropy per token are the exponential tilts ``exp(lambda_source)``. The dual is convex; its Newton steps are run per source, all
+entropy per token are the exponential tilts ``exp(lambda_source)``, constant within a source (target / source size). The dual is convex; its Newton steps are run per source, all
 sources in parallel, on the sources' token totals (the sufficient statistic of the constraints, so documents are read once).
 Rates are then rounded to whole copies: documents of a source are ranked by size (a sampled range sort), and a document's copies
 are the whole numbers that ``phase + rate * rank`` passes at it. Neighbours in that order are of nearly equal size, so a source's
