@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import exact_dedup, jaccard, mixing, pages, pieces, quality, secrets, shards, token_file, toxicity
+from voxloom.llm import centroids, exact_dedup, jaccard, mixing, pages, pieces, quality, secrets, shards, token_file, toxicity
 from voxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op8(spark, sf_dir):
 @query("op10_token_files")
 def op10(spark, sf_dir):
     return token_file.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op11_ns_bounds", centroids.sql())
+def op11(spark, sf_dir):
+    found, middles, _ = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(found, middles)
