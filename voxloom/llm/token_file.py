@@ -8,7 +8,7 @@ A file is one partition of a Parquet table in the shared folder, one row per doc
 same order): ``doc_id``, ``first`` (ids before it in the file), ``n_tokens``, ``offsets`` (32-bit word offsets of its blocks) and
 ``words`` (little-endian). Documents go to files by splitters of the ids, so texts are encoded where they are read and only packed ids move.
 
-Edge cases: null texts count as empty and hold only the end id; a null id sorts after all ids; repeated ids lie side by side in the
+Edge cases: ids are integers (other ids stop with a cast error); null texts count as empty and hold only the end id; a null id sorts after all ids; repeated ids lie side by side in the
 order of their packed ids; an empty table gives an empty file set and result; extra columns are not touched.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,19 +25,28 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import in_slices, partitions
+from voxloom.llm.common import in_slices, partitions, utf8
 from voxloom.session import shared_dir
 
 #: Ids in a word by selector, fixed by the format; the width is 60 // count, selector 15 is the escape.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
 ESCAPE = 15
 BLOCK = 256
-REMEMBER = 450_000
+REMEMBER = 300_000
 _U = np.uint64
 #: Parts words that are encoded together; words that hold it are encoded alone.
 PART = "\x01"
-#: Letters whose lower case and normal form are single characters, then marks that the tokenizer takes as one word (no apostrophe, no digit).
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@^`|~]*)")
+#: Units of simple letters, one digit, or marks.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Byte-level vocabularies spell a byte that is no printable Latin-1 character as the next character from U+0100 on.
+SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+BLANK, LETTER, DIGIT, MARK, OTHER = range(5)
+#: Kind of each byte: blank and line feed, ASCII letters, digits and marks but the apostrophe; two-byte Latin letters are found by pairs.
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[32, 10]] = BLANK
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[48:58] = DIGIT
+KIND[[k for k in range(33, 127) if not chr(k).isalnum() and k != 39]] = MARK
 
 
 #: Bits of the numbers below 65536, at least 1.
@@ -142,44 +152,88 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def _units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every unit of texts laid end to end, and the bytes with simple letters in lower case.
+
+    A unit is a run of simple letters, one digit, a run of marks, or a whole word (between blanks and line ends) that holds anything else.
+    The tokenizer treats units alone.
+    """
+    kind = KIND[raw]
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), raw
+    after = np.append(raw[1:], np.uint8(0))
+    accented = (raw == 0xC3) & ((after & 0xC0) == 0x80) & (after != 0x97) & (after != 0xB7)
+    at = np.flatnonzero(accented)
+    kind[at] = kind[at + 1] = LETTER
+    kind[(raw == 0x3C) & (after == 0x7C)] = OTHER  # begins the name of a special id
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    inside = kind != BLANK
+    before = np.concatenate([np.zeros(1, bool), inside[:-1]])
+    starts = np.flatnonzero(inside & (~before | edge[:-1]))
+    ends = np.flatnonzero(inside & (~np.append(inside[1:], False) | edge[1:])) + 1
+    odd = np.unique(np.searchsorted(starts, np.flatnonzero(kind == OTHER), "right") - 1)
+    if len(odd):
+        step = np.zeros(len(raw) + 1, np.int8)
+        np.add.at(step, starts[odd], 1)
+        np.add.at(step, ends[odd], -1)
+        kind[np.cumsum(step[:-1], dtype=np.int8) > 0] = OTHER
+    low = raw.copy()
+    low[(kind == LETTER) & (raw >= 65) & (raw <= 90)] += 32
+    at = at[(kind[at] == LETTER) & (raw[at + 1] <= 0x9E)]
+    low[at + 1] += 32
+    begins = inside & (edge[:-1] | (kind == DIGIT) | np.concatenate([np.ones(1, bool), kind[1:] != kind[:-1]]))
+    starts = np.flatnonzero(begins)
+    # a unit ends where the next begins or where a blank or the text's end comes first
+    closes = inside & np.append(begins[1:] | ~inside[1:], True)
+    return starts, np.flatnonzero(closes) + 1, low
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer whose words do not depend on the ASCII blanks and line ends around them.
 
-    Each distinct word is given to the library once and remembered, up to ``REMEMBER`` words and twice as many pieces of words per process.
+    Texts are cut into units by array passes; each distinct unit is given to the library once and remembered by its text, about
+    two times ``REMEMBER`` units per process.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         (self.part_id,) = self.lib.encode(PART, add_special_tokens=False).ids
         self.seen: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def learn(self, new: list[str]) -> None:
-        """Encode words that were not seen. A word of Latin letters and marks after them is two pieces that the tokenizer treats alone."""
-        if len(self.seen) + len(new) > REMEMBER:
-            self.seen.clear()
-        simple, ask = [], set()
-        for w in new:
-            m = SIMPLE.fullmatch(w)
-            if m:
-                pair = (m[1].lower(), m[2])
-                simple.append((w, pair))
-                ask.update(p for p in pair if p and p not in self.pieces)
-            elif PART not in w and "<|" not in w:
-                simple.append((w, (w, "")))
-                ask.add(w)
+        self.older: dict[str, bytes] = {}
+        # whether this tokenizer spells bytes as expected
+        self.direct = all(self._merged(w) == np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in ("plain", "7", "#!?", "garçon", "ßàíÿ"))
+
+    def look_up(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units. When ``REMEMBER`` units are known, those not met since the last time this happened are forgotten."""
+        if len(self.seen) > REMEMBER:
+            self.older, self.seen = self.seen, {}
+        seen, older = self.seen, self.older
+        found = [seen.get(w) for w in units]
+        new = []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            w = units[k]
+            if w in older:
+                seen[w] = older[w]
+            elif PART in w or "<|" in w:
+                seen[w] = np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+            elif self.direct and PLAIN.fullmatch(w):
+                seen[w] = self._merged(w)
             else:
-                self.seen[w] = np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-        if len(self.pieces) + len(ask) > 2 * REMEMBER:
-            self.pieces = {"": b""}
-            ask = {p for _, pair in simple for p in pair if p}
-        self._ask(list(ask))
-        pieces = self.pieces
-        self.seen.update((w, pieces[a] + pieces[b]) for w, (a, b) in simple)
-
-    def _ask(self, texts: list[str], step: int = 4096) -> None:
+                new.append(w)
+        self._ask(new)
+        return [seen[w] if ids is None else ids for w, ids in zip(units, found, strict=True)]
+
+    def _merged(self, unit: str) -> bytes:
+        """Ids of a unit that is cut no further: its merges alone, without the library's passes over text."""
+        spelled = unit if unit.isascii() else unit.encode().decode("latin-1").translate(SPELLING)
+        got = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(got)}I", *got)
+
+    def _ask(self, texts: list[str], step: int = 512) -> None:
         """Many texts in one call, parted by a character that is a word of its own."""
         for at in range(0, len(texts), step):
             part = texts[at : at + step]
@@ -187,30 +241,29 @@ class WordIds:
             ids = np.array(got.ids, np.uint32)
             cuts, flat = 4 * np.flatnonzero(ids == self.part_id), ids.tobytes()
             edges = zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(flat)], strict=True)
-            self.pieces.update(zip(part, [flat[a:b] for a, b in edges], strict=True))
+            self.seen.update(zip(part, [flat[a:b] for a, b in edges], strict=True))
 
     def encode(self, column, last: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow column of texts laid end to end, and the offset of each text; ``last`` is appended to each."""
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        column = pc.fill_null(column, "")
-        lists = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " "), " ")
-        coded = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()).dictionary_encode()
-        bounds = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        raw, bounds = utf8(column)
+        starts, ends, low = _units(raw, bounds)
+        sizes = ends - starts
+        body = np.zeros(len(raw) + 1, np.int8)
+        body[starts] += 1
+        body[ends] -= 1
+        data = low[np.cumsum(body[:-1], dtype=np.int8) > 0]
+        marks = np.concatenate([[0], np.cumsum(sizes)])
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(marks.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())).dictionary_encode()
         distinct, index = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        new = [w for w in distinct if w not in self.seen]
-        if new:
-            self.learn(new)
-            if len(self.seen) < len(distinct) or any(w not in self.seen for w in distinct):  # memory was cleared meanwhile
-                self.learn([w for w in distinct if w not in self.seen])
-        parts = [self.seen[w] for w in distinct]
+        parts = self.look_up(distinct)
         table, sizes = np.frombuffer(b"".join(parts), np.uint32), np.array([len(p) // 4 for p in parts], np.int64)
-        starts = np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes
         counts = sizes[index]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        flat = table[np.arange(ends[-1]) + np.repeat(starts[index] - ends[:-1], counts)] if len(table) else np.zeros(0, np.uint32)
-        offsets = ends[bounds]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        flat = table[np.arange(total[-1]) + np.repeat(first[index] - total[:-1], counts)] if len(table) else np.zeros(0, np.uint32)
+        offsets = total[np.searchsorted(starts, bounds)]
         if last is None:
             return flat, offsets
         more = offsets + np.arange(len(offsets))
