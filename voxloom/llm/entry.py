@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import centroids, exact_dedup, jaccard, mixing, pages, pieces, quality, secrets, shards, token_file, toxicity
+from voxloom.llm import centroids, exact_dedup, jaccard, mixing, packing, pages, pieces, quality, secrets, shards, token_file, toxicity
 from voxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op10(spark, sf_dir):
 def op11(spark, sf_dir):
     found, middles, _ = centroids.cluster(table(spark, sf_dir, "embeddings"))
     return centroids.with_inertia(found, middles)
+
+
+@query("op13_nnls_packing")
+def op13(spark, sf_dir):
+    got = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return got.pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
