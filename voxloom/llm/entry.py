@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import centroids, exact_dedup, jaccard, mixing, packing, pages, pieces, quality, secrets, shards, token_file, toxicity
+from voxloom.llm import centroids, collocations, exact_dedup, jaccard, mixing, packing, pages, pieces, quality, secrets, shards, token_file, toxicity
 from voxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op11(spark, sf_dir):
 def op13(spark, sf_dir):
     got = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return got.pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_fm_phrases", collocations.sql())
+def op12(spark, sf_dir):
+    return collocations.top(table(spark, sf_dir, "documents"))
