@@ -35,6 +35,8 @@ LEAST = 30
 COVER = 80
 UNIT = 2_000_000
 UNKNOWN = "und"
+#: Two word numbers stand in 64 bits; this one is no word's.
+LOW = (1 << 32) - 1
 
 INSIDE, BLANK, BREAK = range(3)
 KIND = np.full(256, INSIDE, np.uint8)
@@ -191,10 +193,11 @@ class Index:
         owner, word, count, low, other = extend(self.low, self.count, self.low, self.bwt, self.step, self.width)
         return word, owner + 1, count, low, other
 
-    def longer(self, wanted: np.ndarray):
-        """Three and four words, without those that hold a pair that is not wanted: words in columns, and counts."""
-        first, second, count, low, other = (x[wanted] for x in self.pairs())
-        known = np.unique(first * self.width + second)
+    def longer(self, known: np.ndarray):
+        """Three and four words, without those that hold a pair that is not known (first * width + second): words in columns, and counts."""
+        first, second, count, low, other = self.pairs()
+        here = np.isin(first * self.width + second, known)
+        first, second, count, low, other = (x[here] for x in (first, second, count, low, other))
         is_known = lambda a, b: np.isin(a * self.width + b, known)
         owner, word, n, at, back = extend(low, count, other, self.bwt, self.step, self.width)
         good = is_known(word, first[owner])
@@ -224,23 +227,23 @@ def _pairs(left, right):
         a, b, n, _, _ = index.pairs()
         a, b = index.numbers[a], index.numbers[b]
     shard = left.column("shard")[0].as_py() if left.num_rows else 0
-    return pa.table([pa.array((a << 32) | b), pa.array(np.full(len(n), shard)), pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], ["pair", "shard", "node", "n"])
+    return pa.table([pa.array((a << 32) | b), pa.array(np.full(len(n), shard)), pa.array(n)], ["pair", "shard", "n"])
 
 
 def _longer(left, right):
     import pyarrow as pa
 
     index = _index(left, right)
-    parts = []
+    x = y = counts = np.zeros(0, np.int64)
     if index is not None:
-        nodes = right.column("node").drop_null().to_numpy()
-        three, n, four, m = index.longer(np.sort(nodes))
-        for words, counts in ((three, n), (four, m)):
-            flat = pa.array(index.numbers[words].ravel())
-            parts.append((pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), flat), pa.array(counts)))
-    return pa.table(
-        [pa.chunked_array([p[0] for p in parts], pa.list_(pa.int64())), pa.chunked_array([p[1] for p in parts], pa.int64())], ["g", "n"]
-    )
+        pairs = right.column("pair").drop_null().to_numpy()
+        known = np.searchsorted(index.numbers, pairs >> 32) * index.width + np.searchsorted(index.numbers, pairs & LOW)
+        three, n, four, m = index.longer(np.sort(known))
+        three, four = index.numbers[three], index.numbers[four]
+        x = np.concatenate([three[:, 0] << 32 | three[:, 1], four[:, 0] << 32 | four[:, 1]])
+        y = np.concatenate([three[:, 2] << 32 | LOW, four[:, 2] << 32 | four[:, 3]])
+        counts = np.concatenate([n, m])
+    return pa.table([pa.array(x), pa.array(y), pa.array(counts)], ["x", "y", "n"])
 
 
 # ---- all shards
@@ -256,25 +259,33 @@ def counted(df: DataFrame, least: int = LEAST, text_col: str = "text", lang_col:
     streams, local = shards.where("stream IS NOT NULL").select("shard", "stream", "size"), shards.where("code IS NOT NULL")
     totals = local.groupBy("lang").agg(F.sum("n").alias("total"))
 
-    words = local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = keep(words.withColumn("id", F.monotonically_increasing_id()))
+    # a word is named by its least (shard, code), whose row stands for it: one row per shard and word moves once
+    same = Window.partitionBy("lang", "word")
+    local = local.withColumn("f", F.sum("n").over(same)).withColumn("name", F.min(F.struct("shard", "code")).over(same)).where(F.col("f") >= least)
+    local = keep(local.withColumn("id", F.monotonically_increasing_id()))
+    words = local.where((F.col("shard") == F.col("name.shard")) & (F.col("code") == F.col("name.code")))
     part = F.shiftright("id", 33)
-    sizes = words.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("m"))  # one row per task
+    words = keep(words.withColumn("place", F.row_number().over(Window.partitionBy(part).orderBy("id")) - 1).withColumn("part", part))
+    sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("m"))  # one row per task
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("part", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("base"))
-    if words.count() >= 1 << 31:
+    if words.count() >= LOW >> 1:
         raise ValueError("more than 2**31 words reach the least count")
-    words = keep(words.join(F.broadcast(sizes), part == F.col("part")).select("lang", "word", "f", (F.col("base") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("number")))
+    words = keep(words.join(F.broadcast(sizes), "part").select("name", "lang", "word", "f", (F.col("base") + F.col("place")).alias("number")))
+    mine = keep(local.select("shard", "code", "name").join(words.select("name", "number"), "name").select("shard", "code", "number"))
+    words = words.drop("name")
 
-    mine = keep(local.join(words, ["lang", "word"]).select("shard", "code", "number"))
     left = streams.groupBy("shard")
-    found = left.cogroup(mine.groupBy("shard")).applyInArrow(_pairs, "pair long, shard long, node int, n long")
+    found = left.cogroup(mine.groupBy("shard")).applyInArrow(_pairs, "pair long, shard long, n long")
     # one row per shard and pair
-    found = keep(found.withColumn("f", F.sum("n").over(Window.partitionBy("pair"))).where(F.col("f") >= least).select("pair", "shard", "node", "f"))
-    again = mine.withColumn("node", F.lit(None).cast("int")).unionByName(found.select("shard", "node"), allowMissingColumns=True)
-    longer = left.cogroup(again.groupBy("shard")).applyInArrow(_longer, "g array<long>, n long")
-    longer = longer.groupBy("g").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    two = found.groupBy("pair").agg(F.max("f").alias("f")).select(F.array(F.shiftright("pair", 32), F.col("pair").bitwiseAND((1 << 32) - 1)).alias("g"), "f")
+    found = keep(found.withColumn("f", F.sum("n").over(Window.partitionBy("pair"))).where(F.col("f") >= least).select("pair", "shard", "f"))
+    again = mine.withColumn("pair", F.lit(None).cast("long")).unionByName(found.select("shard", "pair"), allowMissingColumns=True)
+    longer = left.cogroup(again.groupBy("shard")).applyInArrow(_longer, "x long, y long, n long")
+    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(LOW))
+    longer = longer.groupBy("x", "y").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    three = F.array(high("x"), low("x"), high("y"))
+    longer = longer.select(F.when(low("y") == LOW, three).otherwise(F.concat(three, F.array(low("y")))).alias("g"), "f")
+    two = found.groupBy("pair").agg(F.max("f").alias("f")).select(F.array(high("pair"), low("pair")).alias("g"), "f")
     one = words.select(F.array("number").alias("g"), "f")
     return keep(one.unionByName(two).unionByName(longer)), words, totals
 
