@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import in_slices, keep, partitions, utf8
 
-SHARD_WORDS = 2_000_000
+#: A task holds about a dozen numbers a word while it builds a shard's index.
+SHARD_WORDS = 1_250_000
 DEPTH = 4
 LEAST = 30
 #: Per cent of a phrase's occurrences that a longer one must reach to replace it.
@@ -130,9 +131,11 @@ def order_of(key: np.ndarray, bound: int) -> np.ndarray:
     bits = max(len(key), 1).bit_length()
     if bound << bits >= 1 << 63:
         return np.argsort(key, kind="stable")
-    both = (key << bits) | np.arange(len(key))
+    both = key << bits
+    both |= np.arange(len(key))
     both.sort()
-    return both & ((1 << bits) - 1)
+    both &= (1 << bits) - 1
+    return both
 
 
 def transform(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +146,13 @@ def transform(t: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     order = order_of(key, width * width)
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+    del key, ahead, order
     top = int(rank.max()) + 1
-    order = order_of(rank * top + np.concatenate([rank[2:], np.zeros(min(2, n), np.int64)])[:n], top * top)
-    bwt = t[order - 1]
+    both = rank * top
+    both[: n - 2] += rank[2:]
+    del rank
+    bwt = t[order_of(both, top * top) - 1]
+    del both
     step = np.empty(n, np.int64)
     step[order_of(bwt, width)] = np.arange(n)
     return bwt, step
@@ -203,6 +210,7 @@ class Index:
         good = is_known(word, first[owner])
         owner, word, n, at, back = (x[good] for x in (owner, word, n, at, back))
         three = np.stack([word, first[owner], second[owner]], 1)
+        del self.bwt, self.step, first, low, other
         bwt, step = transform(self.t[::-1].copy(), self.width)
         owner, word, m, _, _ = extend(back, n, at, bwt, step, self.width)
         good = is_known(three[owner, 2], word)
