@@ -446,3 +446,23 @@ def test_queries_run(spark):
     for name in QUERIES:
         assert QUERIES[name](spark, SF).limit(1).count() == 1
     assert compare and len({q.split("_")[0] for q in QUERIES}) == 10
+
+
+def test_pairs_of_a_cell():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    sets = []
+    for k in range(60):
+        keep = rng.random(700) > rng.choice([0.0, 0.02, 0.2])
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, int(rng.choice([0, 10, 200])), dtype=np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    points = jaccard.unfold([jaccard.fine_point(s) for s in sets], sizes)
+    assert (points.sum(1) == sizes).all()
+    roots = np.arange(60) // 2
+    linked = {(a, b) for a in range(60) for b in range(a) if roots[a] != roots[b] and len(np.intersect1d(sets[a], sets[b])) * 180 >= (sizes[a] + sizes[b]) * 80}
+    allowed = lambda i, j: np.ones(len(i), bool)
+    i, j = jaccard.cell_pairs(points, sizes, roots, allowed, 80, False)
+    got = set(zip(np.maximum(i, j).tolist(), np.minimum(i, j).tolist()))
+    assert linked <= got and 0 < len(linked) and len(got) < 1.2 * len(linked) + 60
+    i, j = jaccard.cell_pairs(points, sizes, roots, allowed, 80, True)
+    assert 0 < len(i) < len(set(roots.tolist()))

@@ -15,7 +15,9 @@ Only components are asked for, so a cell is not expanded into pairs: its sets ar
 set that shares the most cells with others (the text that copies were made from agrees with each of them more than they do with
 one another), which joins most copies in linear work: each set first against the hub that it meets most often, then against
 those hubs that are not yet in its component. A tree is built only in cells that still hold several components, in
-blocks of at most ``BLOCK`` points, and looks only for pairs of different components. Every such pair above the bound is verified,
+blocks of at most ``BLOCK`` points, and looks only for pairs of different components. Sets of more shingles than ``GROUPS`` are also
+counted in about as many groups as they have shingles; pairs that the tree finds must pass that closer bound too. Cells first
+name a forest of their likeliest pairs, fewer than their sets; then every pair above the bound that still lies in two components is verified,
 so no link between components is lost.
 
 Edge cases: null texts and texts without words have no shingles and no links; a text with fewer words than a shingle is one
@@ -38,6 +40,8 @@ from voxloom.llm.components import components
 GROUPS = 128
 LEAF = 16
 BLOCK = 1_024
+#: Names of sets that a task remembers.
+REMEMBER = 200_000
 
 
 def shingle_sets(column, size: int) -> list[np.ndarray]:
@@ -129,6 +133,27 @@ def cell_keys(s: np.ndarray, schemes: Schemes) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def fine_groups(n: int) -> int:
+    """Groups of the fine point of a set of n shingles: the more shingles, the more groups; always a multiple of ``GROUPS``."""
+    return max(GROUPS, 1 << (max(n, 1).bit_length() - 1))
+
+
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in ``fine_groups`` groups, one byte each, or two where one is too short."""
+    counts = np.bincount((s % np.uint64(fine_groups(len(s)))).astype(np.int64), minlength=fine_groups(len(s)))
+    return counts.astype("<u1" if counts.max(initial=0) < 256 else "<u2").tobytes()
+
+
+def unfold(points: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Fine points as rows, folded to the least number of groups among them (a group of fewer is a sum of groups of more)."""
+    least = fine_groups(int(sizes.min()))
+    out = np.empty((len(points), least), np.uint16 if sizes.max() < 1 << 16 else np.int32)
+    for k, (raw, n) in enumerate(zip(points, sizes.tolist(), strict=True)):
+        groups = fine_groups(n)
+        out[k] = np.frombuffer(raw, "<u1" if len(raw) == groups else "<u2").reshape(-1, least).sum(0)
+    return out
+
+
 def _frame(columns: dict):
     import pyarrow as pa
 
@@ -148,7 +173,7 @@ def _read(what: str, size: int, percent: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schemes = Schemes(percent, 1)
+        schemes, seen = Schemes(percent, 1), set()
         for batch in in_slices(batches, 1 << 20):
             sets = shingle_sets(batch.column(1), size)
             names = pa.array([name_of(s) for s in sets], pa.int64())
@@ -159,12 +184,21 @@ def _read(what: str, size: int, percent: int):
                 longest = max(map(len, sets), default=1)
                 if schemes.starts[-2] <= longest:
                     schemes = Schemes(percent, longest)
-                yield _frame({"sid": names, "cells": _lists([cell_keys(s, schemes) for s in sets], pa.int64())})
+                # a task sends the cells of equal sets once, as long as it remembers them
+                fresh = []
+                for k, name in enumerate(names.to_pylist()):
+                    if name not in seen:
+                        seen.add(name)
+                        fresh.append(k)
+                if len(seen) > REMEMBER:
+                    seen.clear()
+                yield _frame({"sid": names.take(pa.array(fresh, pa.int64())), "cells": _lists([cell_keys(sets[k], schemes) for k in fresh], pa.int64())})
             elif what == "texts":
                 yield _frame({"sid": names, "text": batch.column(1)})
             else:
                 points = [np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]
-                yield _frame({"sid": names, "n": counts, "point": _lists(points, pa.int32()), "text": batch.column(1)})
+                fine = pa.array([fine_point(s) for s in sets], pa.binary())
+                yield _frame({"sid": names, "n": counts, "point": _lists(points, pa.int32()), "fine": fine, "text": batch.column(1)})
 
     return run
 
@@ -239,23 +273,54 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     return order[i], order[j]
 
 
-def _search(percent: int):
+def cell_pairs(points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, allowed, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different roots whose bound on the fine points allows a link; as a ``forest``, only pairs that join roots not yet joined by
+    pairs before them, those of the greatest bound first."""
+    coarse = points.reshape(len(points), -1, GROUPS).sum(1, dtype=np.int32)
+    i, j = tree_pairs(coarse, sizes, percent)
+    good = (roots[i] != roots[j]) & allowed(i, j)
+    i, j = i[good], j[good]
+    step = max(1, (4 << 20) // points.shape[1])
+    bound = np.concatenate([np.zeros(0, np.int64), *[np.minimum(points[i[k : k + step]], points[j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)]])
+    good = bound * (100 + percent) >= (sizes[i] + sizes[j]) * percent
+    i, j, bound = i[good], j[good], bound[good]
+    if not forest or not len(i):
+        return i, j
+    names, of = np.unique(roots, return_inverse=True)
+    up = np.arange(len(names))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    kept = []
+    for k in np.argsort(-bound * 2 / (sizes[i] + sizes[j]), kind="stable").tolist():
+        x, y = top(of[i[k]]), top(of[j[k]])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(k)
+    return i[kept], j[kept]
+
+
+def _search(percent: int, forest: bool):
     def run(key, frame):
         import pandas as pd
 
         frame = frame.drop_duplicates("sid")
-        i, j = tree_pairs(np.stack(frame["point"].to_numpy()), frame["n"].to_numpy(), percent)
-        root, block, sid = frame["root"].to_numpy(), frame["block"].to_numpy(), frame["sid"].to_numpy()
+        root, block, sid, n = (frame[c].to_numpy() for c in ("root", "block", "sid", "n"))
         # pairs of one block are looked for where that block stands alone
-        new = (root[i] != root[j]) & ((block[i] != block[j]) | (key[1] == key[2]))
-        i, j = sid[i[new]], sid[j[new]]
+        allowed = lambda i, j: (block[i] != block[j]) | (key[1] == key[2])
+        i, j = cell_pairs(unfold(frame["fine"].tolist(), n), n, root, allowed, percent, forest)
+        i, j = sid[i], sid[j]
         return pd.DataFrame({"a": np.maximum(i, j), "b": np.minimum(i, j)})
 
     return run
 
 
-def _rest(cells: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that cells still hold, from R-trees over blocks of their points."""
+def _rest(cells: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of different components that cells still hold, from R-trees over blocks of their points; a forest of them is fewer than the sets."""
     rows = cells.join(roots, cells["sid"] == roots["node"], "left").select("cell", "sid", F.coalesce("root", "sid").alias("root")).distinct()
     facts = rows.groupBy("cell").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(F.xxhash64("sid"), 24)).alias("h1"), F.bit_xor(F.xxhash64("sid")).alias("h2")
@@ -266,8 +331,8 @@ def _rest(cells: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) ->
     rows = rows.join(facts.select("cell", blocks.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cell", "sid", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    rows = rows.join(sets.select("sid", "n", "point"), "sid")
-    return rows.groupBy("cell", "x", "y").applyInPandas(_search(percent), "a long, b long").distinct()
+    rows = rows.join(sets.select("sid", "n", "fine"), "sid")
+    return rows.groupBy("cell", "x", "y").applyInPandas(_search(percent, forest), "a long, b long").distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,7 +357,7 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     # sets in cells with others: one text of each
     texts = slim.mapInArrow(_read("texts", size, percent), "sid long, text string").dropDuplicates(["sid"])
     texts = texts.join(cells.select("sid").distinct(), "sid", "left_semi").select("sid", "text")
-    sets = keep(texts.mapInArrow(_read("sets", size, percent), "sid long, n long, point array<int>, text string"))
+    sets = keep(texts.mapInArrow(_read("sets", size, percent), "sid long, n long, point array<int>, fine binary, text string"))
 
     shared = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
     hubs = cells.join(shared, "sid").groupBy("cell").agg(F.max(F.struct("shared", "sid")).alias("hub")).select("cell", F.col("hub.sid").alias("hub"))
@@ -305,7 +370,9 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     others = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
     others = others.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     roots = _joined(roots, keep(_verified(_likely(others, sets, percent), sets, size, percent)))
-    roots = _joined(roots, keep(_verified(_rest(cells, roots, sets, percent), sets, size, percent)))
+    # what the hubs left: first the likeliest links of each cell, then every pair that they did not join
+    for forest in (True, False):
+        roots = _joined(roots, keep(_verified(_rest(cells, roots, sets, percent, forest), sets, size, percent)))
 
     named = docs.join(roots, docs["sid"] == roots["node"], "left").select("_id", "n", F.coalesce("root", "sid").alias("root"))
     linked = named.where("n > 0")
