@@ -44,8 +44,10 @@ def rows_of(seed, n=250):
     return [*rows, (None, "en"), ("", None), (" \t.,", "de"), rows[0], rows[0]]
 
 
+@pytest.mark.parametrize("bits", [28, 15])
 @pytest.mark.parametrize(("seed", "least", "cover", "most", "shard"), [(1, 5, 80, 2000, 300), (2, 3, 80, 7, 50), (3, 30, 60, 2000, 10**6)])
-def test_phrases_equal_counting(spark, seed, least, cover, most, shard):
+def test_phrases_equal_counting(spark, monkeypatch, bits, seed, least, cover, most, shard):
+    monkeypatch.setattr(collocations, "MOST_BITS", bits)
     rows = rows_of(seed)
     df = spark.createDataFrame([(t, lang, "s", 1) for t, lang in rows], "text string, lang string, shard string, n int").repartition(3)
     got = collocations.top(df, most, least=least, cover=cover, shard_words=shard).collect()

@@ -6,9 +6,10 @@ Each shard then builds the Burrows-Wheeler transforms of its numbers and of thei
 the first transform's interval are its left extensions, those in the second's its right extensions, each with its count, and either
 extension gives the longer n-gram's interval in both. As n-grams have at most four words, rows are sorted by their first four words only.
 
-Two rounds are enough. First every shard extends words to pairs; Spark sums the pairs and tells each shard which of its own reach the least count.
-Then shards extend those to the left, and the three words found so to the right, dropping n-grams that hold a rarer pair, and Spark
-sums again. Shards send counts, never texts; no list of words or pairs is broadcast, and a frequent word is one row per shard.
+Two rounds are enough. First every shard extends words to pairs, and Spark sums them. Then shards extend their pairs to the left, and
+the three words found so to the right, dropping n-grams that hold a rarer pair, and Spark sums again. Which pairs reach the least count is
+broadcast as hashed marks of a fixed size at most: where the marks are too few, shards send more n-grams that the sum then drops, and the
+result is the same. Shards send counts, never texts, and a frequent word is one row per shard.
 
 A candidate is dropped for a longer one that holds it and occurs nearly as often. It is enough to look at candidates longer by one word:
 one between the two occurs at least as often as the longest.
@@ -26,11 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import in_slices, keep, partitions, utf8
+from voxloom.llm.common import in_slices, keep, mix, partitions, utf8
 
 #: A task holds about a dozen numbers a word while it builds a shard's index.
 SHARD_WORDS = 1_250_000
 DEPTH = 4
+#: 32 MB of marks at most.
+MOST_BITS = 28
 LEAST = 30
 #: Per cent of a phrase's occurrences that a longer one must reach to replace it.
 COVER = 80
@@ -234,24 +237,61 @@ def _pairs(left, right):
     else:
         a, b, n, _, _ = index.pairs()
         a, b = index.numbers[a], index.numbers[b]
-    shard = left.column("shard")[0].as_py() if left.num_rows else 0
-    return pa.table([pa.array((a << 32) | b), pa.array(np.full(len(n), shard)), pa.array(n)], ["pair", "shard", "n"])
+    return pa.table([pa.array((a << 32) | b), pa.array(n)], ["pair", "n"])
 
 
-def _longer(left, right):
-    import pyarrow as pa
+def place(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Where pairs are marked among 2 ** ``bits`` marks."""
+    return (mix(pairs.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    index = _index(left, right)
-    x = y = counts = np.zeros(0, np.int64)
-    if index is not None:
-        pairs = right.column("pair").drop_null().to_numpy()
-        known = np.searchsorted(index.numbers, pairs >> 32) * index.width + np.searchsorted(index.numbers, pairs & LOW)
-        three, n, four, m = index.longer(np.sort(known))
-        three, four = index.numbers[three], index.numbers[four]
-        x = np.concatenate([three[:, 0] << 32 | three[:, 1], four[:, 0] << 32 | four[:, 1]])
-        y = np.concatenate([three[:, 2] << 32 | LOW, four[:, 2] << 32 | four[:, 3]])
-        counts = np.concatenate([n, m])
-    return pa.table([pa.array(x), pa.array(y), pa.array(counts)], ["x", "y", "n"])
+
+def marked(pairs: DataFrame):
+    """Marks of all pairs (``pair``) as a broadcast: eight bytes of marks for each few pairs, up to 2 ** ``MOST_BITS`` bits for any table.
+
+    A pair that is not marked is not among them; one that is marked may be another's.
+    """
+    bits = max(15, min(MOST_BITS, (16 * max(pairs.count(), 1)).bit_length()))
+
+    def positions(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = place(batch.column("pair").to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 15).astype(np.int32)), pa.array((at & 0x7FFF).astype(np.int32))], ["block", "bit"])
+
+    def block(table):
+        import pyarrow as pa
+
+        marks = np.zeros(1 << 15, bool)
+        marks[table.column("bit").to_numpy()] = True
+        return pa.table([table.column("block")[:1], pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], ["block", "marks"])
+
+    found = pairs.select("pair").mapInArrow(positions, "block int, bit int").distinct()
+    out = np.zeros((1 << (bits - 15), 1 << 12), np.uint8)
+    for r in found.groupBy("block").applyInArrow(block, "block int, marks binary").collect():  # one row per 2**15 marks, a fixed number at most
+        out[r["block"]] = np.frombuffer(r["marks"], np.uint8)
+    return pairs.sparkSession.sparkContext.broadcast((bits, out.ravel()))
+
+
+def _longer(marks):
+    def run(left, right):
+        import pyarrow as pa
+
+        index = _index(left, right)
+        x = y = counts = np.zeros(0, np.int64)
+        if index is not None:
+            bits, flat = marks.value
+            a, b, _, _, _ = index.pairs()
+            at = place((index.numbers[a] << 32) | index.numbers[b], bits)
+            often = (flat[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            three, n, four, m = index.longer(np.sort((a * index.width + b)[often]))
+            three, four = index.numbers[three], index.numbers[four]
+            x = np.concatenate([three[:, 0] << 32 | three[:, 1], four[:, 0] << 32 | four[:, 1]])
+            y = np.concatenate([three[:, 2] << 32 | LOW, four[:, 2] << 32 | four[:, 3]])
+            counts = np.concatenate([n, m])
+        return pa.table([pa.array(x), pa.array(y), pa.array(counts)], ["x", "y", "n"])
+
+    return run
 
 
 # ---- all shards
@@ -284,16 +324,14 @@ def counted(df: DataFrame, least: int = LEAST, text_col: str = "text", lang_col:
     words = words.drop("name")
 
     left = streams.groupBy("shard")
-    found = left.cogroup(mine.groupBy("shard")).applyInArrow(_pairs, "pair long, shard long, n long")
-    # one row per shard and pair
-    found = keep(found.withColumn("f", F.sum("n").over(Window.partitionBy("pair"))).where(F.col("f") >= least).select("pair", "shard", "f"))
-    again = mine.withColumn("pair", F.lit(None).cast("long")).unionByName(found.select("shard", "pair"), allowMissingColumns=True)
-    longer = left.cogroup(again.groupBy("shard")).applyInArrow(_longer, "x long, y long, n long")
+    pairs = left.cogroup(mine.groupBy("shard")).applyInArrow(_pairs, "pair long, n long")
+    pairs = keep(pairs.groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    longer = left.cogroup(mine.groupBy("shard")).applyInArrow(_longer(marked(pairs)), "x long, y long, n long")
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(LOW))
     longer = longer.groupBy("x", "y").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     three = F.array(high("x"), low("x"), high("y"))
     longer = longer.select(F.when(low("y") == LOW, three).otherwise(F.concat(three, F.array(low("y")))).alias("g"), "f")
-    two = found.groupBy("pair").agg(F.max("f").alias("f")).select(F.array(high("pair"), low("pair")).alias("g"), "f")
+    two = pairs.select(F.array(high("pair"), low("pair")).alias("g"), "f")
     one = words.select(F.array("number").alias("g"), "f")
     return keep(one.unionByName(two).unionByName(longer)), words, totals
 
