@@ -144,6 +144,22 @@ def response_terms(spark, sf):
     return gl.response_terms(_answers(spark, sf))
 
 
+def _long_answers(spark, sf):
+    """Answers that hold a list of all words of a turn between other brackets."""
+    s = table(spark, sf, "segments").withColumn("t", F.regexp_replace("source_text", r'[\[\]{}"\\\\]', ""))
+    listed = F.transform(tx.tokens("t"), lambda w: F.concat(F.lit('{"original":"'), w, F.lit('"}')))
+    text = F.concat(F.lit("Note {see [x "), "t", F.lit(']} and "[y", then: ['), F.array_join(listed, ", "), F.lit("] {end ]"))
+    return s.select("job_id", F.col("chunk_id").alias("block_index"), text.alias("content"))
+
+
+@query("embedded_terms", ("segments",), r"""
+SELECT job_id, chunk_id AS block_index, CAST(i AS BIGINT) AS term_index, 'embedded' AS way, '{"original":"'||w||'"}' AS term FROM (
+ SELECT job_id, chunk_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (
+  SELECT job_id, chunk_id, list_filter(string_split(regexp_replace(source_text,'[\[\]{}"\\]','','g'),' '), lambda x: x<>'') AS t FROM segments))""")
+def embedded_terms(spark, sf):
+    return gl.response_terms(_long_answers(spark, sf))
+
+
 # every term is one whole word of letters, so it applies where it is a word of the text
 cte("applies", ("segments", "terms"), r"""
 SELECT s.job_id, s.segment_id, t.term_id, t.original, t.vietnamese, t.locked FROM (
@@ -278,6 +294,67 @@ def compress_text(spark, sf):
     return r.withColumn("warnings", F.array_join("warnings", "|"))
 
 
+def _phrase_terms(spark, sf):
+    """The glossary, stretches of three words of every third turn as they stand in the text, and single characters."""
+    s = table(spark, sf, "segments").where("chunk_id % 3 = 0")
+    words = F.slice(tx.tokens("source_text"), 2, 3)
+    some = s.select(F.array_join(words, " ").alias("original")).unionByName(s.select(F.upper(F.substring("source_text", 1, 1)).alias("original")))
+    some = some.where("original <> ''").distinct()
+    made = some.select(F.concat(F.lit("phrase "), "original").alias("term_id"), "original", F.concat(F.lower("original"), F.lit(" x")).alias("vietnamese"), F.lit(True).alias("locked"))
+    return table(spark, sf, "terms").select("term_id", "original", "vietnamese", "locked").unionByName(made)
+
+
+def _used(spark, sf):
+    """Terms that a translation says it used: the turn's first character, in its other case."""
+    s = table(spark, sf, "segments").where("chunk_id % 2 = 0")
+    return s.select("job_id", "segment_id", F.concat(F.lit(" "), F.lower(F.substring("source_text", 1, 1)), F.lit(" ")).alias("used_term"))
+
+
+cte("all_terms", ("segments", "terms"), """
+SELECT term_id, original, vietnamese, locked FROM terms UNION ALL SELECT 'phrase '||original, original, lower(original)||' x', TRUE FROM (
+ SELECT array_to_string(list_filter(string_split(source_text,' '), lambda x: x<>'')[2:4],' ') AS original FROM segments WHERE chunk_id%3=0
+ UNION SELECT upper(substring(source_text,1,1)) FROM segments WHERE chunk_id%3=0) WHERE original<>''""")
+cte("some_pairs", ("segments", "all_terms"), r"""
+SELECT job_id, segment_id, low, term_id, original, vietnamese, locked FROM (SELECT DISTINCT job_id, segment_id, lower(source_text) AS low, unnest(regexp_extract_all(lower(source_text), '[\p{L}\p{N}_]+')) AS tok FROM segments) s
+JOIN (SELECT *, regexp_extract(lower(original), '[\p{L}\p{N}_]+') AS tok FROM all_terms WHERE length(trim(original))>1) t USING (tok)
+UNION ALL SELECT job_id, segment_id, low, term_id, original, vietnamese, locked FROM (SELECT job_id, segment_id, lower(source_text) AS low FROM segments) s
+JOIN (SELECT * FROM all_terms WHERE length(trim(original))>1 AND regexp_extract(lower(original), '[\p{L}\p{N}_]+')='') t ON contains(s.low, lower(trim(t.original)))""")
+cte("all_apply", ("segments", "all_terms", "some_pairs"), r"""
+SELECT job_id, segment_id, term_id, original, vietnamese, locked FROM (SELECT * FROM some_pairs WHERE contains(low, lower(trim(original))))
+WHERE regexp_full_match(original, '[a-z]+') OR regexp_matches(low, '(^|[^\p{L}\p{N}_])'||regexp_escape(lower(trim(original)))||'($|[^\p{L}\p{N}_])')
+UNION ALL SELECT s.job_id, s.segment_id, t.* FROM segments s JOIN (SELECT * FROM all_terms WHERE length(trim(original))=1) t ON lower(trim(t.original))=lower(substring(s.source_text,1,1)) WHERE s.chunk_id%2=0""")
+
+
+@query("phrase_terms", ("all_apply",), "SELECT job_id, segment_id, term_id FROM all_apply")
+def phrase_terms(spark, sf):
+    found = gl.applicable_terms(table(spark, sf, "segments"), _phrase_terms(spark, sf), used=_used(spark, sf))
+    return found.select("job_id", "segment_id", "term_id")
+
+
+@query("used_terms_missing", ("all_apply", "translations"), """
+SELECT a.job_id, a.segment_id, a.term_id, a.original FROM all_apply a JOIN translations t ON a.job_id=t.job_id AND a.segment_id=t.segment_id
+WHERE a.locked AND NOT contains(lower(t.vi_text), lower(trim(a.vietnamese)))""")
+def used_terms_missing(spark, sf):
+    return gl.locked_terms_missing(table(spark, sf, "segments"), table(spark, sf, "translations"), _phrase_terms(spark, sf), used=_used(spark, sf))
+
+
+@query("compress_text_used", ("segments", "translations", "all_apply"), r"""
+SELECT job_id, segment_id, CASE WHEN fine THEN vi ELSE sh END AS vi_text, CASE WHEN fine THEN '' ELSE
+ array_to_string(list_filter([CASE WHEN sh<>vi THEN 'compressed_for_length' END, CASE WHEN length(sh)>lim THEN 'length_compression_required' END, CASE WHEN aft THEN 'locked_glossary_missing' END], lambda x: x IS NOT NULL),'|') END AS warnings FROM (
+ SELECT p.*, coalesce(aft,FALSE) AS aft, length(vi)<=lim AND NOT coalesce(bef,FALSE) AS fine FROM (
+  SELECT *, trim(regexp_replace(replace(replace(replace(vi,'bây giờ ',''),'một cách ',''),'rất ',''),'\s+',' ','g')) AS sh FROM (
+   SELECT s.job_id, s.segment_id, trim(t.vi_text) AS vi, CAST(greatest(1,trunc(greatest(1,length(trim(source_text)))*1.15::DOUBLE)) AS BIGINT) AS lim
+   FROM segments s JOIN translations t ON s.job_id=t.job_id AND s.segment_id=t.segment_id)) p
+ LEFT JOIN (SELECT a.job_id, a.segment_id, bool_or(NOT contains(lower(trim(t.vi_text)), lower(trim(a.vietnamese)))) AS bef,
+   bool_or(NOT contains(lower(trim(regexp_replace(replace(replace(replace(trim(t.vi_text),'bây giờ ',''),'một cách ',''),'rất ',''),'\s+',' ','g'))), lower(trim(a.vietnamese)))) AS aft
+  FROM all_apply a JOIN translations t ON a.job_id=t.job_id AND a.segment_id=t.segment_id WHERE a.locked GROUP BY ALL) m ON p.job_id=m.job_id AND p.segment_id=m.segment_id)""")
+def compress_text_used(spark, sf):
+    t = table(spark, sf, "translations").select("job_id", "segment_id", "vi_text")
+    p = table(spark, sf, "segments").select("job_id", "segment_id", "source_text").join(t, ["job_id", "segment_id"])
+    r = tn.compress_translations(p, _phrase_terms(spark, sf), used=_used(spark, sf))
+    return r.withColumn("warnings", F.array_join("warnings", "|"))
+
+
 def _echo_cues(spark, sf):
     """Cues of which some repeat the previous cue's words before their own."""
     from voxloom.plans.sequences import neighbours

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions import rules
 from voxloom.functions import text as tx
+from voxloom.session import cut
 
 
 def _blank(c: Column, default: str = "") -> Column:
@@ -95,6 +101,40 @@ def normalize_terms(raw: DataFrame, *, review: bool = False) -> DataFrame:
     ).where("original <> ''")
 
 
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{}]', re.S)
+_JSON = json.JSONDecoder()
+
+
+def first_json(text: str) -> str | None:
+    """The JSON value that begins at the first bracket that begins any.
+
+    Where a value fails, the brackets that it had opened and not closed by then fail at the same place and are not tried again.
+    """
+    dead: set[int] = set()
+    for m in re.finditer(r"[\[{]", text):
+        i = m.start()
+        if i in dead:
+            continue
+        try:
+            return text[i : _JSON.raw_decode(text, i)[1]]
+        except json.JSONDecodeError as e:
+            fails, still = e.pos, []
+        except RecursionError:
+            fails, still = len(text), []
+        for mark in _MARKS.finditer(text, i, max(fails, i + 1)):
+            if mark[0] in "[{":
+                still.append(mark.start())
+            elif mark[0] in "]}" and still:
+                still.pop()
+        dead.update(still)
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _embedded(answers: pd.Series) -> pd.Series:
+    return answers.map(lambda t: None if t is None else first_json(t))
+
+
 def response_terms(responses: DataFrame) -> DataFrame:
     """Terms out of raw model answers: JSON, fenced JSON, JSON inside text, else bullet lines.
 
@@ -102,12 +142,8 @@ def response_terms(responses: DataFrame) -> DataFrame:
     """
     c = F.trim("content")
     fenced = F.regexp_extract(c, r"(?s)^```[^\n]*\n(?:json)?\s*(.*?)\s*\n[^\n]*```$", 1)
-    # the first opening bracket from which some text up to a closing one is JSON, and the shortest such text; one answer, a few brackets
-    places = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
-    opens = F.filter(places, lambda i: F.substr(c, i, F.lit(1)).isin("{", "["))
-    closes = F.filter(places, lambda i: F.substr(c, i, F.lit(1)).isin("}", "]"))
-    spans = F.flatten(F.transform(opens, lambda a: F.transform(F.filter(closes, lambda b: b > a), lambda b: F.substr(c, a, b - a + 1))))
-    embedded = F.coalesce(F.get(F.filter(spans, lambda t: F.try_parse_json(t).isNotNull()), F.lit(0)), F.lit(""))
+    direct, inner = F.try_parse_json(c), F.try_parse_json(F.nullif(fenced, F.lit("")))
+    embedded = F.coalesce(_embedded(F.when(direct.isNull() & inner.isNull() & F.rlike(c, F.lit(r"[\[{]")), c)), F.lit(""))
     parsed = F.coalesce(F.try_parse_json(c), F.try_parse_json(F.nullif(fenced, F.lit(""))), F.try_parse_json(F.nullif(embedded, F.lit(""))))
     way = (
         F.when(F.try_parse_json(c).isNotNull(), "json")
@@ -140,32 +176,65 @@ def response_terms(responses: DataFrame) -> DataFrame:
     return found.unionByName(named)
 
 
-def applicable_terms(segments: DataFrame, terms: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """(segment, term) pairs where the term occurs in the segment as a whole phrase.
+#: A run of word characters, or any other character alone.
+_PIECE = rf"{tx.WORD}+|(?s:.)"
+
+
+def _pieces(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(_PIECE), F.lit(0))
+
+
+def _word(c: Column) -> Column:
+    return F.coalesce(F.rlike(c, F.lit(rf"^{tx.WORD}")), F.lit(False))
+
+
+def applicable_terms(segments: DataFrame, terms: DataFrame, scope: list[str] | None = None, used: DataFrame | None = None) -> DataFrame:
+    """(segment, term) pairs where the term occurs in the segment as a whole phrase, with the term's columns.
+
+    Texts and terms are cut into pieces: words, and other characters one by one. A posting is (segment, place, piece) for the pieces that
+    terms are found by: of each term the piece that occurs least often in all texts, blanks never. A posting that meets its
+    term is verified by place: the pieces around it must be the term's, and no word may go on before or after them. So a frequent word of a
+    term costs nothing, and a term with a piece that no text has is dropped at once.
 
-    Only ids and tokens take part in the token join that finds candidates; texts are joined to the
-    few pairs left. The first word of a term must occur as a word of the text, so no pair is missed.
+    A term of one character applies where it is listed as used, whatever the text: ``used`` is (*scope or job_id, segment_id, used_term).
+    Case is that of ``lower``; blank terms apply nowhere; terms repeated in ``terms`` are terms of their own.
     """
     scope = scope or []
-    word = rf"({tx.WORD}+)"
-    first = F.regexp_extract(F.lower("original"), word, 1)
-    # a term without any word is found by its first symbol, so no key is shared by all segments
-    t = terms.withColumn("tok", F.when(first != "", first).otherwise(F.substring(F.trim("original"), 1, 1)))
-    marks = F.array_distinct(F.filter(F.split(F.regexp_replace("source_text", rf"{tx.WORD}|\\s", ""), ""), lambda x: x != ""))
-    toks = F.array_union(F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit(word), F.lit(1))), marks)
-    s = segments.select("job_id", "segment_id", *[k for k in scope if k != "job_id"], F.explode(toks).alias("tok"))
-    cand = s.join(t, [*scope, "tok"]).drop("tok")
-    cand = cand.join(segments.select("job_id", "segment_id", "source_text"), ["job_id", "segment_id"])
-    return cand.where(tx.term_applies(F.col("source_text"), F.col("original")))
+    seg = ["job_id", "segment_id"]
+    keys = [*seg, *[k for k in scope if k not in seg]]
+    own = [c for c in terms.columns if c not in scope]
+    t = terms.withColumn("_clean", F.trim("original")).where("_clean <> ''").withColumn("_t", F.monotonically_increasing_id())
+    t = cut(t.select(*scope, "_t", "_clean", F.struct(*own).alias("_term")))
+    long_ = t.where(F.length("_clean") > 1).withColumn("_want", _pieces(F.col("_clean")))
+
+    texts = segments.select(*keys, _pieces(F.col("source_text")).alias("_have"))
+    parts = long_.select(*scope, "_t", "_want", F.posexplode("_want").alias("_k", "_piece")).where("trim(_piece) <> ''")
+    wanted = parts.select("_piece").distinct()
+    postings = cut(texts.select(*keys, F.posexplode("_have").alias("_place", "_piece")).join(wanted, "_piece", "left_semi"))
+    often = postings.groupBy("_piece").agg(F.count("*").alias("_n"))
+    rare = parts.join(often, "_piece", "left").groupBy(*scope, "_t").agg(F.min_by(F.struct("_piece", "_k", "_want"), F.struct(F.coalesce("_n", F.lit(0)), "_k")).alias("_r"))
+    found = postings.join(rare.select(*scope, "_t", "_r._piece", "_r._k", "_r._want"), [*scope, "_piece"])
+    at, size = F.col("_place") - F.col("_k"), F.size("_want")
+    found = found.where(at >= 0).select(*keys, "_t", "_want", at.cast("int").alias("_at")).join(texts, keys)
+    same = F.slice("_have", F.col("_at") + 1, size) == F.col("_want")
+    before = F.when(F.col("_at") > 0, F.get("_have", F.col("_at") - 1))
+    alone = ~(_word(F.get("_want", F.lit(0))) & _word(before)) & ~_word(before) & ~_word(F.get("_have", F.col("_at") + size))
+    pairs = found.where(same & alone).select(*keys, "_t").distinct()
+    if used is not None:
+        short = t.where(F.length("_clean") == 1).select(*scope, "_t", F.lower("_clean").alias("_piece"))
+        given = [k for k in keys if k in used.columns]
+        listed = used.select(*given, F.lower(F.trim("used_term")).alias("_piece")).distinct().join(segments.select(*keys).distinct(), given)
+        pairs = pairs.unionByName(listed.join(short, [*scope, "_piece"]).select(*keys, "_t"))
+    return pairs.join(t.select("_t", "_term"), "_t").select(*keys, "_term.*")
 
 
 def locked_terms_missing(
-    segments: DataFrame, translations: DataFrame, terms: DataFrame, scope: list[str] | None = None
+    segments: DataFrame, translations: DataFrame, terms: DataFrame, scope: list[str] | None = None, used: DataFrame | None = None
 ) -> DataFrame:
     """Locked terms of a segment whose rendering does not occur in its translation."""
     locked = terms.where("locked AND trim(original) <> '' AND trim(vietnamese) <> ''").select(
         *(scope or []), "term_id", "original", "vietnamese"
     )
-    pairs = applicable_terms(segments, locked, scope).select("job_id", "segment_id", "term_id", "original", "vietnamese")
+    pairs = applicable_terms(segments, locked, scope, used).select("job_id", "segment_id", "term_id", "original", "vietnamese")
     p = pairs.join(translations.select("job_id", "segment_id", "vi_text"), ["job_id", "segment_id"])
     return p.where(~F.contains(F.lower("vi_text"), F.lower(F.trim("vietnamese")))).drop("vi_text", "vietnamese")

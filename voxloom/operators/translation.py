@@ -95,6 +95,7 @@ def translation_warnings(
     span_errors: DataFrame,
     *,
     max_length_ratio: float = 1.15,
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """One row per warning; what would stop a run (an empty translation) becomes an error row."""
     p = segments.select(*SEG, "source_text").join(translations.select(*SEG, "vi_text"), SEG)
@@ -110,18 +111,18 @@ def translation_warnings(
     spans = span_errors.join(live.select(*SEG), SEG, "left_semi").select(
         *SEG, F.lit("translation_protected_span_violation").alias("warning"), F.col("error").alias("detail")
     )
-    missing = gl.locked_terms_missing(live, live, terms).select(
+    missing = gl.locked_terms_missing(live, live, terms, used=used).select(
         *SEG, F.lit("locked_glossary_term_missing").alias("warning"), F.col("original").alias("detail")
     )
     return own.unionByName(spans).unionByName(missing)
 
 
-def compress_translations(pairs: DataFrame, terms: DataFrame, *, max_length_ratio: float = 1.15) -> DataFrame:
+def compress_translations(pairs: DataFrame, terms: DataFrame, *, max_length_ratio: float = 1.15, used: DataFrame | None = None) -> DataFrame:
     """Drop filler phrases where a translation is too long or lacks a locked term; never truncate."""
     p = pairs.select(*SEG, F.trim("source_text").alias("source_text"), F.trim("vi_text").alias("vi_text"))
     p = p.withColumn("short_text", tx.compress_fillers(F.col("vi_text")))
     locked = terms.where("locked AND trim(original) <> '' AND trim(vietnamese) <> ''").select("term_id", "original", "vietnamese")
-    need = gl.applicable_terms(p, locked).select(*SEG, F.lower(F.trim("vietnamese")).alias("r"))
+    need = gl.applicable_terms(p, locked, used=used).select(*SEG, F.lower(F.trim("vietnamese")).alias("r"))
     lack = need.join(p.select(*SEG, "vi_text", "short_text"), SEG).groupBy(*SEG).agg(
         F.bool_or(~F.contains(F.lower("vi_text"), F.col("r"))).alias("before"),
         F.bool_or(~F.contains(F.lower("short_text"), F.col("r"))).alias("after"),

@@ -128,6 +128,17 @@ def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str, *
     return running(df, key, order, {name: ("count", F.lit(1))}, width=width)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add the 1-based place of each row in the order of the whole table: a range sort, then one summary row per task."""
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    rows = placed.withColumn(name, inside).join(counts, "_part")
+    return rows.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def islands(
     df: DataFrame,
     key: Sequence[str],

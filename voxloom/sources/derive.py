@@ -143,8 +143,7 @@ def glossary_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "words").select("job_id", F.lower("text").alias("token"))
     w = w.where(F.rlike("token", F.lit("^[a-z]{4,}$")))
     top = w.groupBy("token").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    top = top.withColumn("rank", rank.cast("long"))
+    top = seq.numbered(top, [F.desc("n"), F.col("token")], "rank")
     r = F.col("rank")
     common = [
         F.reverse("token").alias("vietnamese"), (r % 9 == 0).alias("protected"), (r % 4 != 0).alias("locked"),
