@@ -9,8 +9,13 @@ KEY = ["job_id", "stage", "segment_id"]
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Latest status per unit, by event time and then sequence; works on a stream in update mode."""
-    return events.groupBy(*KEY).agg(F.max_by("status", F.struct("event_ms", "seq")).alias("status"))
+    """Latest status per unit, by event time and then sequence, with the two that decided it.
+
+    Latest statuses of parts of the events merge to the latest status of all, in any order of the parts.
+    """
+    order = F.struct("event_ms", "seq")
+    last = events.groupBy(*KEY).agg(F.max_by(F.struct("status", "event_ms", "seq"), order).alias("s"))
+    return last.select(*KEY, "s.status", "s.event_ms", "s.seq")
 
 
 def progress(units: DataFrame) -> DataFrame:
@@ -19,25 +24,34 @@ def progress(units: DataFrame) -> DataFrame:
     )
 
 
-def progress_stream(events: DataFrame, out: str, checkpoint: str) -> None:
-    """Run the status stream over what is there and append changed units, tagged with their epoch.
+def progress_stream(events: DataFrame, out: str, checkpoint: str) -> list[dict]:
+    """Run the status stream over what is there and append each batch's latest status of the units it touches.
 
-    A rewritten epoch replaces itself, so a retry after a failure leaves no duplicates.
+    The stream keeps no state, however many jobs it has seen: what a batch writes carries its event time, so a late event
+    loses where results are read. A rewritten epoch replaces itself, so a retry after a failure leaves no duplicates.
+    Returns the progress reports of the batches.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch_no={epoch}")
+        latest_status(batch).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch_no={epoch}")
 
-    q = (
-        latest_status(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
+    q = events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
+    return list(q.recentProgress)
+
+
+def stream_units(spark: SparkSession, out: str) -> DataFrame:
+    """Newest status of every unit the stream has written."""
+    return latest_status(spark.read.parquet(out))
+
+
+def compact(spark: SparkSession, out: str, to: str) -> None:
+    """Write one row per unit of all epochs so far to a new place; it is read like an epoch."""
+    stream_units(spark, out).withColumn("epoch", F.lit(-1).cast("long")).write.parquet(f"{to}/epoch_no=-1")
 
 
 def stream_result(spark: SparkSession, out: str) -> DataFrame:
     """Progress from the newest status of every unit the stream has written."""
-    u = spark.read.parquet(out)
-    return progress(u.groupBy(*KEY).agg(F.max_by("status", "epoch").alias("status")))
+    return progress(stream_units(spark, out))
 
 
 def speech_sessions(words: DataFrame, *, pause_threshold_ms: int = 250, late: str = "10 minutes") -> DataFrame:
@@ -65,26 +79,27 @@ def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def incremental_units(units: DataFrame, done_path: str, checkpoint: str, key: list[str], work) -> None:
-    """Process only units not done before: per micro-batch an anti join with the results so far.
+def incremental_units(units: DataFrame, done_path: str, checkpoint: str, key: list[str], work) -> list[dict]:
+    """Process only units not done before.
 
-    ``work(batch) -> DataFrame`` must keep the key columns. Results go to one folder per epoch, so a
-    repeated epoch replaces itself.
+    Done keys are the state of a streaming de-duplication, kept in RocksDB beside the checkpoint: a batch looks up its own keys and reads no
+    results. A batch that fails is run again from the state before it. ``work(batch) -> DataFrame`` must keep the key columns. Results go
+    to one folder per epoch, so a repeated epoch replaces itself. Returns the progress reports of the batches.
     """
     spark = units.sparkSession
+    setting, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
     def step(batch: DataFrame, epoch: int) -> None:
-        target = f"{done_path}/epoch_no={epoch}"
-        fresh = batch.dropDuplicates(key)
-        try:
-            done = spark.read.parquet(done_path).where(f"epoch_no <> {epoch}").select(*key)
-            fresh = fresh.join(done, key, "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        work(fresh).write.mode("overwrite").parquet(target)
-
-    q = (
-        units.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
-    )
-    q.awaitTermination()
+        work(batch).write.mode("overwrite").parquet(f"{done_path}/epoch_no={epoch}")
+
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, store)
+    try:
+        q = units.dropDuplicates(key).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+    return list(q.recentProgress)
