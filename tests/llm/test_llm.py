@@ -466,3 +466,19 @@ def test_pairs_of_a_cell():
     assert linked <= got and 0 < len(linked) and len(got) < 1.2 * len(linked) + 60
     i, j = jaccard.cell_pairs(points, sizes, roots, allowed, 80, True)
     assert 0 < len(i) < len(set(roots.tolist()))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><article class="post has-sidebar"><p>Whole text here</p></article></body>', "Whole text here"),
+        ('<div id="page" class="no-sidebar"><article><p>Whole text here</p></article></div>', "Whole text here"),
+        ('<main><div class="social science"><p>Whole text here</p></div><div class="social links">Follow us</div></main>', "Whole text here"),
+        ('<div class="sidebar-layout"><div class="sidebar">Menu</div><main><p>Whole text here</p></main></div>', "Whole text here"),
+        ('<main><p>Whole text here</p><article class="comment-body">First!</article><div class="related-posts">More</div></main>', "Whole text here"),
+        ('<div class="sidebar"><article><p>Teaser</p></article></div><article><p>Whole text here</p></article>', "Whole text here"),
+    ],
+)
+def test_names_that_only_mention_a_marker_remove_nothing(page, want):
+    found, marked = pages.blocks(page)
+    assert marked and found == [want]
