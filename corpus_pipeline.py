@@ -35,9 +35,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix of sources takes it. Rows of one id but different texts are documents of their own."""
     taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_taken"), F.col("text_hash").alias("_hash"), F.col("copies").cast("int").alias("_copies"))
-    same_text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == taken["_hash"]
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]) & same_text)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    # the row travels as one column, so that none of its own columns can clash with the ones joined to it
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    same_text = F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))) == F.col("_hash")
+    rows = row.join(taken, F.col("row.doc_id").eqNullSafe(F.col("_taken")) & same_text)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
