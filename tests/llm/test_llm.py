@@ -482,3 +482,12 @@ def test_pairs_of_a_cell():
 def test_names_that_only_mention_a_marker_remove_nothing(page, want):
     found, marked = pages.blocks(page)
     assert marked and found == [want]
+
+
+def test_mix_of_awkward_and_empty_tables(spark, awkward, empty):
+    odd = awkward.withColumnsRenamed({"_id": "_copies", "kept": "_hash", "url": "row", "part": "_taken"})
+    out = corpus_pipeline.source_mix(spark, odd, SF)
+    assert out.columns == odd.columns and out.count() > 0
+    assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in odd.collect()}
+    assert corpus_pipeline.source_mix(spark, empty, SF).collect() == []
+    assert corpus_pipeline.token_ids(spark, empty, SF).collect() == []
