@@ -115,6 +115,11 @@ def checkpoint_progress(spark, sf):
     return st.checkpoint_progress(_checkpoints(_latest(spark, sf)), ["job_id"])
 
 
+@query("incomplete_units", ("cps",), "SELECT job_id, name, status FROM cps WHERE status<>'completed'")
+def incomplete_units(spark, sf):
+    return st.incomplete_units(_checkpoints(_latest(spark, sf)), ["job_id", "name"])
+
+
 def _batch_jobs(spark, sf):
     status = (
         F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed")

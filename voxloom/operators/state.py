@@ -62,6 +62,12 @@ def checkpoint_progress(checkpoints: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def incomplete_units(checkpoints: DataFrame, key: list[str]) -> DataFrame:
+    """One row per unit that is not completed, with its status; a unit without a status counts as pending."""
+    status = F.coalesce("status", F.lit("pending"))
+    return checkpoints.where(status != "completed").select(*key, status.alias("status"))
+
+
 def batch_status(jobs: DataFrame) -> DataFrame:
     """Per batch: jobs per status as a map, and the batch's own status."""
     per = jobs.groupBy("batch_id", "status").agg(F.count("*").alias("n"))
