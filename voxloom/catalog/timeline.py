@@ -85,6 +85,16 @@ def preserve_pause(spark, sf):
     )
 
 
+@query("preserve_all_pauses", ("gaps",), "SELECT job_id, position, start_ms, duration_ms, preserve_pause_ms, usable_overflow_ms FROM gaps")
+def preserve_all_pauses(spark, sf):
+    """The rule on every gap: before, between and after speech."""
+    c, d = table(spark, sf, "cues"), F.col("duration_ms")
+    return tl.speech_gaps(c, totals(c)).select(
+        "job_id", "position", "start_ms", "duration_ms", tl.preserve_pause_ms(d).alias("preserve_pause_ms"),
+        tl.usable_overflow_ms(d).alias("usable_overflow_ms"),
+    )
+
+
 @query("overflow_by_cue", ("gaps",), """
 SELECT c.job_id, c.cue_id, coalesce(m,0) AS timeline_usable_overflow_ms FROM cues c LEFT JOIN (
  SELECT job_id, preceding_cue_id, max(usable_overflow_ms) AS m FROM gaps WHERE preceding_cue_id IS NOT NULL GROUP BY ALL) g
