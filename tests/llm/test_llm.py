@@ -461,11 +461,12 @@ def test_pairs_of_a_cell():
     roots = np.arange(60) // 2
     linked = {(a, b) for a in range(60) for b in range(a) if roots[a] != roots[b] and len(np.intersect1d(sets[a], sets[b])) * 180 >= (sizes[a] + sizes[b]) * 80}
     allowed = lambda i, j: np.ones(len(i), bool)
-    i, j = jaccard.cell_pairs(points, sizes, roots, allowed, 80, False)
+    i, j, more = jaccard.cell_pairs(points, sizes, roots, allowed, 80, False)
+    assert not more
     got = set(zip(np.maximum(i, j).tolist(), np.minimum(i, j).tolist()))
     assert linked <= got and 0 < len(linked) and len(got) < 1.2 * len(linked) + 60
-    i, j = jaccard.cell_pairs(points, sizes, roots, allowed, 80, True)
-    assert 0 < len(i) < len(set(roots.tolist()))
+    i, j, more = jaccard.cell_pairs(points, sizes, roots, allowed, 80, True)
+    assert more and 0 < len(i) < len(set(roots.tolist()))
 
 
 @pytest.mark.parametrize(

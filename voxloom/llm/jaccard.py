@@ -273,9 +273,9 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     return order[i], order[j]
 
 
-def cell_pairs(points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, allowed, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+def cell_pairs(points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, allowed, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of different roots whose bound on the fine points allows a link; as a ``forest``, only pairs that join roots not yet joined by
-    pairs before them, those of the greatest bound first."""
+    pairs before them, those of the greatest bound first; and whether that left any out."""
     coarse = points.reshape(len(points), -1, GROUPS).sum(1, dtype=np.int32)
     i, j = tree_pairs(coarse, sizes, percent)
     good = (roots[i] != roots[j]) & allowed(i, j)
@@ -285,7 +285,7 @@ def cell_pairs(points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, allowed
     good = bound * (100 + percent) >= (sizes[i] + sizes[j]) * percent
     i, j, bound = i[good], j[good], bound[good]
     if not forest or not len(i):
-        return i, j
+        return i, j, False
     names, of = np.unique(roots, return_inverse=True)
     up = np.arange(len(names))
 
@@ -301,7 +301,7 @@ def cell_pairs(points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, allowed
         if x != y:
             up[max(x, y)] = min(x, y)
             kept.append(k)
-    return i[kept], j[kept]
+    return i[kept], j[kept], len(kept) < len(i)
 
 
 def _search(percent: int, forest: bool):
@@ -312,9 +312,11 @@ def _search(percent: int, forest: bool):
         root, block, sid, n = (frame[c].to_numpy() for c in ("root", "block", "sid", "n"))
         # pairs of one block are looked for where that block stands alone
         allowed = lambda i, j: (block[i] != block[j]) | (key[1] == key[2])
-        i, j = cell_pairs(unfold(frame["fine"].tolist(), n), n, root, allowed, percent, forest)
+        i, j, more = cell_pairs(unfold(frame["fine"].tolist(), n), n, root, allowed, percent, forest)
         i, j = sid[i], sid[j]
-        return pd.DataFrame({"a": np.maximum(i, j), "b": np.minimum(i, j)})
+        found = pd.DataFrame({"a": np.maximum(i, j), "b": np.minimum(i, j)}, dtype="Int64").assign(open=pd.array([None] * len(i), "Int64"))
+        # a cell that held more pairs than its forest is looked at again
+        return pd.concat([found, pd.DataFrame({"a": [None], "b": [None], "open": [int(key[0])]}, dtype="Int64")]) if more else found
 
     return run
 
@@ -332,7 +334,7 @@ def _rest(cells: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, for
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cell", "sid", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     rows = rows.join(sets.select("sid", "n", "fine"), "sid")
-    return rows.groupBy("cell", "x", "y").applyInPandas(_search(percent, forest), "a long, b long").distinct()
+    return rows.groupBy("cell", "x", "y").applyInPandas(_search(percent, forest), "a long, b long, open long").distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -371,8 +373,10 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     others = others.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     roots = _joined(roots, keep(_verified(_likely(others, sets, percent), sets, size, percent)))
     # what the hubs left: first the likeliest links of each cell, then every pair that they did not join
-    for forest in (True, False):
-        roots = _joined(roots, keep(_verified(_rest(cells, roots, sets, percent, forest), sets, size, percent)))
+    first = keep(_rest(cells, roots, sets, percent, True))
+    roots = _joined(roots, keep(_verified(first.where("open IS NULL").select("a", "b"), sets, size, percent)))
+    left = cells.join(first.where("open IS NOT NULL").select(F.col("open").alias("cell")).distinct(), "cell", "left_semi")
+    roots = _joined(roots, keep(_verified(_rest(left, roots, sets, percent, False).select("a", "b"), sets, size, percent)))
 
     named = docs.join(roots, docs["sid"] == roots["node"], "left").select("_id", "n", F.coalesce("root", "sid").alias("root"))
     linked = named.where("n > 0")
