@@ -1,6 +1,7 @@
 """Brute-force versions of what the operators compute, one document or pair at a time."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -129,3 +130,18 @@ def without_repeats(pages, run=8, least=3):
             kept.append(" ".join(w for j, w in enumerate(words) if j not in gone))
         out.append("\n".join(k for k in kept if k))
     return out
+
+
+def rates(sizes, target, cap=3.0):
+    """min(cap, exp(x * size)) with the x that brings the words of one source to its target, by bisection."""
+    total = sum(sizes)
+    if not total:
+        return [0.0] * len(sizes)
+    if target >= cap * total * (1 - 1e-12):
+        return [cap] * len(sizes)
+    rate = lambda x, n: cap if x * n > 700 else min(cap, math.exp(x * n))
+    lo, hi = -50.0, 50.0
+    for _ in range(200):
+        x = (lo + hi) / 2
+        lo, hi = (x, hi) if sum(n * rate(x, n) for n in sizes) < target else (lo, x)
+    return [rate(hi, n) for n in sizes]

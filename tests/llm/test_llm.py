@@ -99,12 +99,31 @@ def test_mix(spark, docs, awkward):
     assert (got["taken"] <= 3 * got["size"]).all() and (got["taken"] == got["copies"] * got["size"]).all()
     again = mixing.mix(docs.repartition(7)).toPandas()
     assert sorted(zip(got.doc_id, got.taken)) == sorted(zip(again.doc_id, again.taken))
+    # the dual of every source, solved by itself, and the constraint before rounding
+    for _, g in got.groupby("source", dropna=False):
+        assert g["rate"].tolist() == pytest.approx(plain.rates(g["size"].tolist(), g["target"].iloc[0]), rel=1e-6, abs=1e-12)
+        assert (g["rate"] * g["size"]).sum() == pytest.approx(g["target"].iloc[0], rel=1e-6)
+        assert (abs(g["copies"] - g["rate"]) < 1 + 1e-9).all()
+    assert got.groupby("source")["rate"].nunique().max() > 5
     # excess of a small source goes to the others, null source last
     rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(10, "a"), (100, "b"), (100, "c"), (50, None)])]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert {r.source: pytest.approx(r.target) for r in got.collect()} == plain.targets({"a": 10, "b": 100, "c": 100, None: 50})
 
 
+def test_mix_tilts_by_size(spark):
+    rng = random.Random(11)
+    sizes = {"a": [rng.randint(0, 40) for _ in range(60)] + [900], "b": [7] * 50, "c": [1, 1, 2, 5000], None: [rng.randint(1, 9) for _ in range(40)], "d": [0, 0]}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, own in sizes.items() for n in own)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    for s, own in sizes.items():
+        mine = sorted((r for r in got if r.source == s), key=lambda r: r.doc_id)
+        assert [r.size for r in mine] == own
+        assert [r.rate for r in mine] == pytest.approx(plain.rates(own, mine[0].target), rel=1e-6, abs=1e-12)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(own)
+    assert all(r.taken <= 3 * r.size for r in got)
+
+
 def test_quality(spark, docs, texts):
     trusted = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
     got = by_id(quality.quality(docs, trusted))

@@ -1,14 +1,19 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets a rate; among all rates whose tokens add up to each source's target, the ones closest to 1 in relative
-entropy per token are the exponential tilts ``exp(lambda_source)``, constant within a source (target / source size). The dual is convex; its Newton steps are run per source, all
-sources in parallel, on the sources' token totals (the sufficient statistic of the constraints, so documents are read once).
-Rates are then rounded to whole copies: documents of a source are ranked by size (a sampled range sort), and a document's copies
-are the whole numbers that ``phase + rate * rank`` passes at it. Neighbours in that order are of nearly equal size, so a source's
-tokens differ from its target by less than its longest document; of ``PHASES`` phases the one that comes nearest is taken.
-
-Edge cases: null text and texts of blanks have size 0; a null source is a source of its own, after all others; a source without
-words has target 0 and takes nothing; repeated rows are rows of their own; an empty table gives an empty result.
+Every document gets a rate; among all rates whose tokens add up to each source's target and that stay at most ``cap``, the ones closest to 1 in
+relative entropy over documents are the exponential tilts ``min(cap, exp(lambda * size))``, with one multiplier lambda per source. The dual is convex
+and is solved by Newton iterations: the constraint needs a document's size only, so documents are read once and counted by (source, size), and
+each step is one distributed aggregate of these counts for all sources at once. A step takes the logarithm of the sum, which is nearly straight in lambda,
+and is held inside a bracket that closes. Sums are decimal, so they do not depend on the order of rows.
+
+Rates are then rounded to whole copies: documents of a source are ranked by size, longest first (a sampled range sort), and a document's copies are
+the whole numbers that ``phase + sum of rates`` passes at it. The sum is a start per (source, size) plus a multiple of the rate, as equal sizes share a rate.
+Neighbours in that order are of nearly equal size, so the tokens taken differ from what the rates ask for by less than the longest document. A source's sizes
+are dealt to two such rows by their hash, and of all pairs of ``PHASES`` phases the one is taken that comes nearest to the target.
+
+Edge cases: null text and texts of blanks have size 0 and a rate of 1, which takes no tokens; a null source is a source of its own, after all others;
+a source without words has target 0 and takes nothing; a source whose target is ``cap`` times its size has the rate ``cap`` throughout; repeated rows are
+rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +23,13 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import WORD, keep, partitions
 
-#: Unit of the fixed-point rates, so that sums do not depend on the order of rows.
-ONE = 1 << 20
+#: Bits of the fixed-point rates.
+BITS = 40
+ONE = 1 << BITS
 PHASES = 32
-NEWTON_STEPS = 60
+#: Newton steps stop when every source's tokens are this near to its target, or after so many steps (bisection alone would get there).
+NEAR = 1e-9
+NEWTON_STEPS = 100
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -45,15 +53,68 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     return ranked.select("_source", "source_size", F.least(F.col("limit"), F.coalesce(F.col("stop"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def dual(targets: DataFrame) -> DataFrame:
-    """Add ``rate``: Newton iterations on each source's coordinate of the dual, size * exp(x) - target * x.
+def dual(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """Add ``lambda`` to ``targets`` (``_source``, ``source_size``, ``target``); ``counts`` has (``_source``, ``size``, ``n``).
 
-    The Hessian of disjoint constraints is diagonal, so a coordinate's step is the full Newton step. Steps are held to one unit.
+    Solves sum(n * size * min(cap, exp(lambda * size))) = target per source. Only the number of sources that are not near yet
+    reaches the driver in a step.
     """
-    tokens = F.col("source_size").cast("double")
-    step = lambda x, _: x - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.lit(1.0) - F.col("target") / (tokens * F.exp(x))))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
-    return targets.withColumn("rate", F.when((tokens > 0) & (F.col("target") > 0), F.exp(solved)).otherwise(F.lit(0.0)))
+    words = counts.where("size > 0")
+    least = words.groupBy("_source").agg(F.min("size").alias("_least"))
+    tokens, goal = F.col("source_size").cast("double"), F.col("target")
+    state = targets.join(least, targets["_source"].eqNullSafe(least["_source"]), "left").drop(least["_source"])
+    # no words, or every document at the cap: nothing to solve
+    state = state.withColumn("_full", goal >= tokens * F.lit(float(cap)) * F.lit(1 - 1e-12)).withColumn("_done", F.col("_full") | F.col("_least").isNull() | (goal <= 0))
+    # at lo the sum is at most the target, at hi at least
+    below = F.when((goal > 0) & (goal < tokens), F.log(F.try_divide(goal, tokens)) / F.col("_least"))
+    above = F.when(goal > tokens, F.log(F.lit(float(cap))) / F.col("_least"))
+    state = keep(
+        state.select(
+            "_source", "source_size", "target", "_full", "_done", F.coalesce(below, F.lit(0.0)).alias("_lo"), F.coalesce(above, F.lit(0.0)).alias("_hi"), F.lit(0.0).alias("lambda")
+        )
+    )
+    exact = "decimal(38,6)"
+    for _ in range(NEWTON_STEPS):
+        if not state.where("NOT _done").limit(1).count():
+            break
+        open_ = state.where("NOT _done").select(F.col("_source").alias("_of"), "lambda")
+        tilt = F.exp(F.col("lambda") * F.col("size"))
+        mass = F.col("n") * F.col("size").cast("double")
+        sums = words.join(open_, words["_source"].eqNullSafe(open_["_of"])).groupBy("_of").agg(
+            F.sum((mass * F.least(F.lit(float(cap)), tilt)).cast(exact)).cast("double").alias("_sum"),
+            F.sum(F.when(tilt < cap, mass * F.col("size") * tilt).otherwise(F.lit(0.0)).cast(exact)).cast("double").alias("_slope"),
+        )
+        s = state.join(sums, state["_source"].eqNullSafe(sums["_of"]), "left").drop("_of")
+        s = s.withColumn("_lo", F.when(F.col("_sum") < goal, F.col("lambda")).otherwise(F.col("_lo")))
+        s = s.withColumn("_hi", F.when(F.col("_sum") > goal, F.col("lambda")).otherwise(F.col("_hi")))
+        middle = (F.col("_lo") + F.col("_hi")) / 2
+        newton = F.col("lambda") - F.try_divide((F.log("_sum") - F.log("target")) * F.col("_sum"), F.col("_slope"))
+        inside = F.when((newton > F.col("_lo")) & (newton < F.col("_hi")), newton).otherwise(middle)
+        closed = (middle <= F.col("_lo")) | (middle >= F.col("_hi"))
+        near = (F.abs(F.col("_sum") - goal) <= goal * NEAR) | closed
+        done = F.col("_done") | near
+        step = F.when(done, F.col("lambda")).otherwise(inside)
+        state = keep(s.select("_source", "source_size", "target", "_full", done.alias("_done"), "_lo", "_hi", step.alias("lambda")))
+    return state.drop("_done", "_lo", "_hi")
+
+
+def rates(counts: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
+    """Per (``_source``, ``size``): the rate, in units of ``ONE`` too, and what longer sizes hold: the
+    documents of the source, and the units (modulo ``ONE``) of the same half of its sizes."""
+    s = solved.select(F.col("_source").alias("_of"), "source_size", "target", "_full", "lambda")
+    tilt = F.least(F.lit(float(cap)), F.exp(F.col("lambda") * F.col("size")))
+    r = counts.join(s, counts["_source"].eqNullSafe(s["_of"])).drop("_of")
+    r = r.withColumn("rate", F.when(F.col("target") <= 0, F.lit(0.0)).when(F.col("_full"), F.lit(float(cap))).otherwise(tilt))
+    r = r.withColumn("_unit", F.round(F.col("rate") * F.lit(float(ONE))).cast("long"))
+    # one row per length that occurs: a source's window is bounded by its longest document
+    r = r.withColumn("_half", F.pmod(F.xxhash64("size"), F.lit(2)).cast("int"))
+    longer = Window.partitionBy("_source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    of_half = Window.partitionBy("_source", "_half").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    units = F.sum(F.col("n").cast("decimal(19,0)") * F.col("_unit").cast("decimal(19,0)")).over(of_half)
+    return r.select(
+        "_source", "size", "source_size", "target", "rate", "_unit", "_half", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("_docs"),
+        F.pmod(F.coalesce(units, F.lit(0)).cast("decimal(38,0)"), F.lit(ONE)).cast("long").alias("_from"),
+    )
 
 
 def _ranked(sizes: DataFrame) -> DataFrame:
@@ -71,9 +132,10 @@ def _ranked(sizes: DataFrame) -> DataFrame:
     return rows.join(counts, same).select(rows["_id"], rows["_source"], "size", "_tie", (F.col("_rank") + F.col("_before")).alias("_rank"))
 
 
-def copies(rate, rank, phase):
-    """Whole numbers passed between rank - 1 and rank (1-based) at ``rate`` units a rank."""
-    return F.floor((rate * rank + phase) / F.lit(ONE)) - F.floor((rate * (rank - 1) + phase) / F.lit(ONE))
+def copies(start, unit, phase):
+    """Whole numbers passed by ``unit`` from ``start``, both in units of ``ONE``."""
+    at = start + F.lit(phase) if isinstance(phase, int) else start + phase
+    return F.shiftright(at + unit, BITS) - F.shiftright(at, BITS)
 
 
 def mix(
@@ -91,18 +153,25 @@ def mix(
             F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("_tie")
         )
     )
-    solved = keep(dual(source_targets(sizes, weights, cap)).withColumn("_unit", F.round(F.col("rate") * F.lit(float(ONE))).cast("long")))
-    ranked = _ranked(sizes)
-    rows = ranked.join(solved, ranked["_source"].eqNullSafe(solved["_source"])).drop(solved["_source"])
-    rows = keep(rows)
+    counts = keep(sizes.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("n")))
+    solved = dual(counts, source_targets(sizes, weights, cap), cap)
+    rate = keep(rates(counts, solved, cap)).withColumnRenamed("_source", "_of").withColumnRenamed("size", "_size")
+    rows = _ranked(sizes)
+    rows = rows.join(rate, rows["_source"].eqNullSafe(rate["_of"]) & (rows["size"] == rate["_size"])).drop("_of", "_size")
+    passed = (F.col("_rank") - F.col("_docs") - 1).cast("decimal(19,0)") * F.col("_unit").cast("decimal(19,0)") + F.col("_from")
+    rows = keep(rows.withColumn("_at", F.pmod(passed, F.lit(ONE)).cast("long")).drop("_rank", "_docs", "_from"))
     phases = [ONE * (2 * k + 1) // (2 * PHASES) for k in range(PHASES)]
-    near = rows.groupBy("_source").agg(
-        F.first("target").alias("_goal"), *[F.sum(copies(F.col("_unit"), F.col("_rank"), F.lit(p)) * F.col("size")).alias(f"p{k}") for k, p in enumerate(phases)]
+    sums = F.array(*[F.sum(copies(F.col("_at"), F.col("_unit"), p) * F.col("size")) for p in phases])
+    near = rows.groupBy("_source", "_half").agg(F.first("target").alias("_goal"), sums.alias("_sums"))
+    half = lambda k: F.coalesce(F.max(F.when(F.col("_half") == k, F.col("_sums"))), F.array_repeat(F.lit(0).cast("long"), PHASES))
+    near = near.groupBy("_source").agg(F.first("_goal").alias("_goal"), half(0).alias("_a"), half(1).alias("_b"))
+    pairs = F.flatten(
+        F.transform("_a", lambda x, i: F.transform("_b", lambda y, k: F.struct(F.abs(x + y - F.col("_goal")).alias("off"), F.array(i, k).alias("pair"))))
     )
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"p{k}") - F.col("_goal")).alias("off"), F.lit(p).cast("long").alias("phase")) for k, p in enumerate(phases)]))
-    near = near.select("_source", best["phase"].alias("_phase"))
+    chosen = F.transform(F.array_min(pairs)["pair"], lambda k: F.element_at(F.array(*[F.lit(p).cast("long") for p in phases]), k + 1))
+    near = near.select("_source", chosen.alias("_phases"))
     done = rows.join(near, rows["_source"].eqNullSafe(near["_source"])).drop(near["_source"])
-    done = done.withColumn("copies", copies(F.col("_unit"), F.col("_rank"), F.col("_phase")).cast("long"))
+    done = done.withColumn("copies", copies(F.col("_at"), F.col("_unit"), F.element_at("_phases", F.col("_half") + 1)).cast("long"))
     return done.select(
         F.col("_id").alias(id_col), F.col("_source").alias("source"), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"),
         F.col("_tie").alias("text_hash"),
