@@ -54,7 +54,8 @@ def normalization_candidates(spark, sf):
 
 @query("protected_spans")
 def protected_spans(spark, sf):
-    return tr.protected_spans(_spoken_math(spark, sf))
+    s = tr.protected_spans(_spoken_math(spark, sf))
+    return s.withColumn("forbidden", F.array_join("forbidden", "|"))
 
 
 @query("normalize_spoken")

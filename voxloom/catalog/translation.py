@@ -6,6 +6,7 @@ from voxloom.catalog.base import cte, query
 from voxloom.functions import text as tx
 from voxloom.operators import glossary as gl
 from voxloom.operators import review as rv
+from voxloom.operators import transcript as tr
 from voxloom.operators import translation as tn
 from voxloom.sources.derive import table
 
@@ -88,6 +89,55 @@ def glossary_from_spans(spark, sf):
     return gl.glossary_from_spans(_span_rows(spark, sf), ["job_id"], ["start_ms"])
 
 
+# a second domain, as a table of rules: (priority, rule, pattern, canonical, spoken, display, kind, forbidden)
+PLAIN_RULES = [
+    (0, "plain.number", r"(?<!\S)([0-9]+)(?!\S)", "{1}", "", "no. {1}", "number", ["."]),
+    (1, "plain.pair", r"(?<!\S)([A-Za-z])([A-Za-z])(?!\S)", "{1}{2}", "{1} {2}", "{1}{2}", "pair", ["eht", " "]),
+]
+
+
+def _plain_rules(spark):
+    return spark.createDataFrame(PLAIN_RULES, tx.RULE_SCHEMA)
+
+
+cte("plain_spans", ("words",), """
+SELECT job_id, segment_id, start_ms, CAST(ch AS INTEGER) AS start_char, CAST(ch+length(text) AS INTEGER) AS end_char, text AS source_text, text AS canonical, k AS kind, 'plain.'||k AS rule_id,
+ CASE k WHEN 'pair' THEN text[1]||' '||text[2] ELSE '' END AS spoken, CASE k WHEN 'pair' THEN text ELSE 'no. '||text END AS display,
+ CASE k WHEN 'pair' THEN ['eht',' '] ELSE ['.'] END AS forbidden FROM (
+ SELECT job_id, 'seg_'||lpad((chunk_id+1)::VARCHAR,6,'0') AS segment_id, min(start_ms) OVER (PARTITION BY job_id, chunk_id) AS start_ms, text,
+  sum(length(text)+1) OVER (PARTITION BY job_id, chunk_id ORDER BY pos)-length(text)-1 AS ch,
+  CASE WHEN regexp_full_match(text,'[A-Za-z]{2}') THEN 'pair' WHEN regexp_full_match(text,'[0-9]+') THEN 'number' END AS k FROM words) WHERE k IS NOT NULL""")
+
+
+@query("domain_spans", ("plain_spans",), "SELECT * EXCLUDE (start_ms, forbidden), array_to_string(forbidden,'|') AS forbidden FROM plain_spans")
+def domain_spans(spark, sf):
+    s = tr.protected_spans(table(spark, sf, "segments"), rule_table=_plain_rules(spark))
+    return s.withColumn("forbidden", F.array_join("forbidden", "|"))
+
+
+@query("domain_glossary", ("plain_spans",), """
+SELECT job_id, 'protected_'||lower(s.canonical) AS term_id, s.canonical AS original, s.spoken AS vietnamese, s.kind AS category, TRUE AS locked, TRUE AS protected,
+ 'Domain protected span generated by '||s.rule_id||'.' AS notes, s.spoken AS spoken, s.display AS display, array_to_string(s.forbidden,'|') AS forbidden FROM (
+ SELECT job_id, arg_min(p, (start_ms, segment_id, start_char)) AS s FROM plain_spans p GROUP BY job_id, lower(canonical))""")
+def domain_glossary(spark, sf):
+    s = table(spark, sf, "segments")
+    spans = tr.protected_spans(s, rule_table=_plain_rules(spark)).join(s.select("job_id", "segment_id", "start_ms"), ["job_id", "segment_id"])
+    g = gl.glossary_from_spans(spans, ["job_id"], ["start_ms", "segment_id", "start_char"], full=True)
+    return g.withColumn("forbidden", F.array_join("forbidden", "|"))
+
+
+@query("domain_span_errors", ("plain_spans", "translations"), r"""
+, said AS (SELECT job_id, segment_id, vi_text, trim(regexp_replace(list_reduce(list_concat([vi_text], own),
+  lambda acc, x: regexp_replace(acc, x, x[1]||' '||x[2], 'gi')), '\s+', ' ', 'g')) AS spoken_text
+ FROM (SELECT job_id, segment_id, list_sort(list_distinct(coalesce(list(canonical) FILTER (kind='pair'), []))) AS own FROM plain_spans GROUP BY ALL) JOIN translations USING (job_id, segment_id))
+SELECT job_id, segment_id, unnest(list_filter(list_concat(list_transform(forbidden, lambda f: CASE WHEN trim(f)<>'' AND contains(lower(vi_text), f)
+   THEN 'protected span '||canonical||' was translated as forbidden term '||f END),
+  [CASE WHEN spoken<>'' AND NOT contains(lower(spoken_text), lower(spoken)) THEN 'protected span '||canonical||' must be represented as '||lower(spoken) END]), lambda x: x IS NOT NULL)) AS error
+FROM plain_spans JOIN said USING (job_id, segment_id)""")
+def domain_span_errors(spark, sf):
+    return tn.span_errors(table(spark, sf, "segments"), table(spark, sf, "translations"), rule_table=_plain_rules(spark))
+
+
 @query("seed_terms", ("scoped",), None)
 def seed_terms(spark, sf):
     s = gl.seed_terms(_scoped_terms(spark, sf))

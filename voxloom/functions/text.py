@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,12 +187,43 @@ def match_spans(c: Column, pattern: str) -> Column:
 
 SPAN_TYPE = (
     "array<struct<start_char:int,neg_len:int,rule:int,end_char:int,rule_id:string,kind:string,source_text:string,"
-    "canonical:string,spoken:string,display:string>>"
+    "canonical:string,spoken:string,display:string,forbidden:array<string>>>"
 )
 
+#: Columns of a rule table. ``{1}`` and ``{2}`` in the three forms stand for the pattern's groups; ``forbidden`` may be null.
+RULE_SCHEMA = "priority int, rule_id string, pattern string, canonical string, spoken string, display string, kind string, forbidden array<string>"
+#: A rule table is settings, not data: each rule is an expression of the plan, so a larger table is refused.
+MAX_RULES = 256
+
+
+def rule_table(spark) -> DataFrame:
+    """The built-in notation rules as a rule table."""
+    rows = [(n, *r, list(rules.FORBIDDEN.get(r[2], ()))) for n, r in enumerate(rules.SPAN_RULES)]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
+
+
+def read_rules(table: DataFrame | None) -> list[tuple]:
+    """(rule_id, pattern, canonical, spoken, display, kind, forbidden) of a rule table in its order; the built-in ones for None.
+
+    Rules without a pattern, and ones that match the empty text, cannot mark anything and are refused, as are repeated ids.
+    """
+    if table is None:
+        return [(*r, rules.FORBIDDEN.get(r[2], ())) for r in rules.SPAN_RULES]
+    empty = F.coalesce(F.col("pattern"), F.lit("")) == ""
+    head = table.withColumn("_blank", empty | F.rlike(F.lit(""), F.when(empty, "x").otherwise(F.col("pattern"))))
+    found = head.orderBy("priority", "rule_id").limit(MAX_RULES + 1).collect()
+    if len(found) > MAX_RULES:
+        raise ValueError(f"a rule table has at most {MAX_RULES} rules")
+    if len({r["rule_id"] for r in found}) < len(found):
+        raise ValueError("rule ids must differ")
+    bad = [r["rule_id"] for r in found if r["_blank"]]
+    if bad:
+        raise ValueError(f"rules that match the empty text: {bad}")
+    return [tuple(r[c] or "" for c in ("rule_id", "pattern", "canonical", "spoken", "display", "kind")) + (tuple(r["forbidden"] or ()),) for r in found]
+
 
 def _span_struct(n: int, rule: tuple[str, ...]):
-    rule_id, pattern, canonical, spoken, display, kind = rule
+    rule_id, pattern, canonical, spoken, display, kind, forbidden = rule
     bare = pattern.replace(rules.NO_LETTER_BEFORE, "").replace(rules.NO_LETTER_AFTER, "")
 
     def fill(template: str, m: Column) -> Column:
@@ -208,15 +239,24 @@ def _span_struct(n: int, rule: tuple[str, ...]):
             s["end"].alias("end_char"), F.lit(rule_id).alias("rule_id"), F.lit(kind).alias("kind"),
             s["m"].alias("source_text"), fill(canonical, s["m"]).alias("canonical"),
             fill(spoken, s["m"]).alias("spoken"), fill(display, s["m"]).alias("display"),
+            F.array(*[F.lit(x) for x in forbidden]).cast("array<string>").alias("forbidden"),
         )
 
     return build
 
 
-def protected_spans(c: Column) -> Column:
-    """Notation spans by the rule table; overlaps go to the earlier, then longer, then first rule."""
-    parts = [F.transform(match_spans(c, r[1]), _span_struct(n, r)).cast(SPAN_TYPE) for n, r in enumerate(rules.SPAN_RULES)]
-    ordered = F.array_sort(F.concat(*parts))
+def protected_spans(c: Column, found_rules: list[tuple] | None = None) -> Column:
+    """Notation spans by the rules; overlaps go to the earlier, then longer, then first rule.
+
+    One search for any rule's pattern decides whether a text is looked at rule by rule, so texts without notation are read once.
+    """
+    table = read_rules(None) if found_rules is None else found_rules
+    none = F.array().cast(SPAN_TYPE)
+    if not table:
+        return none
+    any_rule = "|".join(f"(?:{r[1]})" for r in table)
+    parts = [F.transform(match_spans(c, r[1]), _span_struct(n, r)).cast(SPAN_TYPE) for n, r in enumerate(table)]
+    ordered = F.when(F.rlike(c, F.lit(any_rule)), F.array_sort(F.concat(*parts))).otherwise(none)
 
     def keep(acc: Column, s: Column) -> Column:
         taken = F.coalesce(F.try_element_at(acc, F.lit(-1))["end_char"], F.lit(0))

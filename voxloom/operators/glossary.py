@@ -41,10 +41,11 @@ def glossary_links(terms: DataFrame, scope: list[str], column: str) -> DataFrame
     return t.select(*scope, F.lower("original").alias("term_key"), F.explode(column).alias(column)).distinct()
 
 
-def glossary_from_spans(spans: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
-    """First span per canonical form becomes a protected, locked term."""
+def glossary_from_spans(spans: DataFrame, scope: list[str], order: list[str], *, full: bool = False) -> DataFrame:
+    """First span per canonical form becomes a protected, locked term; ``full`` adds its spoken and displayed form and forbidden renderings."""
+    own = ("spoken", "display", "forbidden") if full else ("spoken", "display")
     first = spans.groupBy(*scope, F.lower("canonical").alias("k")).agg(
-        F.min_by(F.struct("canonical", "spoken", "display", "kind", "rule_id"), F.struct(*order)).alias("s")
+        F.min_by(F.struct("canonical", "kind", "rule_id", *own), F.struct(*order)).alias("s")
     )
     safe = F.regexp_replace(F.regexp_replace(F.lower("s.canonical"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return first.select(
@@ -56,6 +57,7 @@ def glossary_from_spans(spans: DataFrame, scope: list[str], order: list[str]) ->
         F.lit(True).alias("locked"),
         F.lit(True).alias("protected"),
         F.concat(F.lit("Domain protected span generated by "), F.col("s.rule_id"), F.lit(".")).alias("notes"),
+        *([F.col(f"s.{c}").alias(c) for c in own] if full else []),
     )
 
 

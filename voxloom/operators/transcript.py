@@ -128,9 +128,12 @@ def normalization_candidates(segments: DataFrame) -> DataFrame:
     )
 
 
-def protected_spans(segments: DataFrame, *, text: str = "source_text") -> DataFrame:
-    """One row per notation span found in the whole text."""
-    s = segments.select("job_id", "segment_id", F.inline(tx.protected_spans(F.col(text))))
+def protected_spans(segments: DataFrame, *, text: str = "source_text", rule_table: DataFrame | None = None) -> DataFrame:
+    """One row per notation span found in the whole text, with its rule's forbidden renderings.
+
+    ``rule_table`` (``tx.RULE_SCHEMA``) names another domain's rules; a null text has no spans.
+    """
+    s = segments.select("job_id", "segment_id", F.inline(tx.protected_spans(F.col(text), tx.read_rules(rule_table))))
     return s.drop("neg_len", "rule")
 
 

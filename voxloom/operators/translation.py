@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as tx
 from voxloom.operators import glossary as gl
+from voxloom.operators import transcript as tr
 from voxloom.plans import sequences as seq
 from voxloom.session import cut
 
@@ -65,6 +66,23 @@ def protected_errors(spans: DataFrame, translations: DataFrame) -> DataFrame:
     return bad.unionByName(absent)
 
 
+def span_texts(spans: DataFrame, translations: DataFrame) -> DataFrame:
+    """Translations as (display_text, spoken_text): the spoken one has the notation of the segment's own spans, then the fixed one, spelled out.
+
+    A translation without spans is not looked at. ``translations``: job_id, segment_id, vi_text; null counts as empty.
+    """
+    # one segment's spans, bounded by its text
+    own = spans.groupBy(*SEG).agg(F.collect_set(F.struct("canonical", "spoken", "display")).alias("own"))
+    t = translations.select(*SEG, F.coalesce("vi_text", F.lit("")).alias("display_text")).join(own, SEG)
+    return t.select(*SEG, "display_text", tx.normalize_spoken(F.col("display_text"), F.array_sort("own")).alias("spoken_text"))
+
+
+def span_errors(segments: DataFrame, translations: DataFrame, *, rule_table: DataFrame | None = None) -> DataFrame:
+    """Violated notation of whole segments: spans found in the source text, checked against the spelled-out translation."""
+    spans = cut(tr.protected_spans(segments, rule_table=rule_table))
+    return protected_errors(spans, span_texts(spans, translations))
+
+
 def spoken_text_errors(spans: DataFrame, translations: DataFrame) -> DataFrame:
     """Checks of separate spoken texts: present at all, no forbidden word in either text, span spoken."""
     t = translations.where("trim(display_text) <> ''")
