@@ -11,6 +11,7 @@ from voxloom.operators import state as st
 from voxloom.operators import units as un
 from voxloom.session import shared_dir
 from voxloom.sources import artifacts as ar
+from voxloom.sources import commits as cm
 from voxloom.sources import media
 from voxloom.sources.derive import raw, table
 from voxloom.streaming import jobs as sj
@@ -295,6 +296,42 @@ def publish_artifact(spark, sf):
     return m.select(F.col("job_id").cast("long").alias("job_id"), "name", "version", "created_by_stage", "rows")
 
 
+def _published(spark, sf):
+    """Cues published twice: all of them, then the changed ones of some jobs."""
+    c = table(spark, sf, "cues").select("job_id", "cue_id", "start_ms", "end_ms", "source_text")
+    root = _scratch(spark, "published")
+    art = {"name": "dubbing_cues", "version": 2}
+    cm.publish(c, root, created_by="translation", **art)
+    changed = c.where("job_id % 3 = 0").withColumn("source_text", F.concat("source_text", F.lit(" v2")))
+    return root, c.schema, art, cm.publish(changed, root, created_by="translation", **art)
+
+
+@query("publish_commits", ("cues",), """
+SELECT job_id, cue_id, start_ms, end_ms, CASE WHEN job_id%3=0 THEN source_text||' v2' ELSE source_text END AS source_text FROM cues""")
+def publish_commits(spark, sf):
+    root, schema, art, _ = _published(spark, sf)
+    return cm.read(spark, root, schema, **art)
+
+
+@query("publish_progress", ("cues",), """
+SELECT job_id, 'translation' AS stage, CASE WHEN job_id%3=0 THEN 'completed' ELSE 'running' END AS status, CASE WHEN job_id%3=0 THEN count(*) ELSE 0 END AS done, count(*) AS total FROM cues GROUP BY job_id""")
+def publish_progress(spark, sf):
+    _, _, _, last = _published(spark, sf)
+    p = table(spark, sf, "cues").groupBy("job_id").agg(F.count("*").alias("total"))
+    p = p.where("job_id % 2 = 0 OR job_id % 3 <> 0").select("job_id", F.lit("translation").alias("stage"), F.lit("running").alias("status"), F.lit(0).alias("done"), "total")
+    return cm.stage_progress(p, last)
+
+
+@query("publish_valid", ("cues",), """
+SELECT job_id, 'dubbing_cues' AS name, CAST(2 AS INTEGER) AS version, count(*) AS rows, TRUE AS valid FROM cues GROUP BY job_id""")
+def publish_valid(spark, sf):
+    root, schema, art, _ = _published(spark, sf)
+    key = ["job_id", "name", "version"]
+    now = cm.manifest(spark, root)
+    bad = st.invalid_artifacts(now, cm.found(spark, root, schema, **art), key)
+    return now.join(bad, key, "left").select(*key, "rows", F.col("reason").isNull().alias("valid"))
+
+
 @query("scan_inputs")
 def scan_inputs(spark, sf):
     path = _scratch(spark, "inputs")
