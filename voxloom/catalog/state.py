@@ -239,7 +239,16 @@ def invalidate_downstream(spark, sf):
     return st.reset_progress(_progress(spark, sf), _resets(spark, sf))
 
 
-@query("drop_artifacts")
+NEEDED = ", ".join(f"({rules.STAGES.index(s) + 1}, '{s}', '{n}', {v})" for s, n, v in rules.REQUIRED_ARTIFACTS)
+CHECKPOINTED = " ".join(f"WHEN {rules.STAGES.index(s) + 1} THEN '{n}'" for s, n in rules.CHECKPOINT_ARTIFACTS.items())
+
+
+@query("drop_artifacts", ("latest",), f"""
+SELECT a.* EXCLUDE (ord) FROM (
+ SELECT l.job_id, d.stage, l.sha256, d.art AS name, CAST(d.ver AS INTEGER) AS version, d.art||'.'||d.ver::VARCHAR AS path, d.ord FROM latest l JOIN (VALUES {NEEDED}) d(ord, stage, art, ver) ON l.name=d.ord
+ UNION ALL SELECT o_orderkey, 'mixing', 'x', 'output_video', CAST(1 AS INTEGER), 'output_video.1', 8 FROM orders WHERE o_orderkey%3=0) a
+LEFT JOIN (SELECT o_orderkey AS job_id, o_orderkey%8+1 AS f FROM orders WHERE o_orderkey%4<>0) r ON a.job_id=r.job_id
+WHERE NOT coalesce(ord>=f, FALSE) OR coalesce(name = CASE f {CHECKPOINTED} END, FALSE)""")
 def drop_artifacts(spark, sf):
     a, _ = _named(spark, sf)
     return st.drop_artifacts(a, _resets(spark, sf), preserve_checkpoints=True)

@@ -27,6 +27,15 @@ def source_speech_islands(spark, sf):
     return tl.source_speech_islands(table(spark, sf, "words"))
 
 
+@query("source_speech_fallback", ("islands", "cues"), """
+SELECT *, 'word' AS quality FROM islands WHERE job_id%4<>0 UNION ALL
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms, cue_id)-1, start_ms, end_ms, 0, 'cue_fallback' FROM cues WHERE job_id%4=0""")
+def source_speech_fallback(spark, sf):
+    """Words of every fourth recording lost their times."""
+    w = table(spark, sf, "words").withColumn("end_ms", F.when(F.col("job_id") % 4 == 0, F.col("start_ms")).otherwise(F.col("end_ms")))
+    return tl.with_cue_fallback(cut(tl.source_speech_islands(w)), table(spark, sf, "cues"))
+
+
 @query("source_silences", ("islands",), SILENCES)
 def source_silences(spark, sf):
     i = cut(tl.source_speech_islands(table(spark, sf, "words")))

@@ -47,6 +47,20 @@ def confusable_rewrite(spark, sf):
     )
 
 
+cte("heard_words", ("words",), """
+SELECT job_id, chunk_id, pos, CASE pos%5 WHEN 0 THEN 'Doctor,' WHEN 1 THEN 'indoctor' WHEN 2 THEN '(doctor)' ELSE text END AS raw_text FROM words""")
+
+
+@query("rewrite_words", ("heard_words",), r"""
+SELECT *, regexp_replace(raw_text, '(^|[^A-Za-zÀ-ỹ])doctor($|[^A-Za-zÀ-ỹ])', '\1dr\2', 'i') AS text FROM heard_words""")
+def rewrite_words(spark, sf):
+    k = F.col("pos") % 5
+    heard = F.when(k == 0, "Doctor,").when(k == 1, "indoctor").when(k == 2, "(doctor)").otherwise(F.col("text"))
+    word = F.struct(heard.alias("text"), F.lit(None).cast("string").alias("raw_text"))
+    w = table(spark, sf, "words").select("job_id", "chunk_id", "pos", F.inline(tr.rewrite_words(F.array(word))))
+    return w.select("job_id", "chunk_id", "pos", "raw_text", "text")
+
+
 @query("normalization_candidates")
 def normalization_candidates(spark, sf):
     return tr.normalization_candidates(tr.confusable_rewrite(_spoken_math(spark, sf)))

@@ -642,7 +642,14 @@ def cue_projection_v2(spark, sf):
     return rv.cue_projection_v2(c).withColumn("risk_flags", F.array_join("risk_flags", "|"))
 
 
-@query("cue_set_checksum")
+cte("cue_runs", ("cues",), """
+SELECT job_id, i//1024 AS run, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) AS n FROM (
+ SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms, cue_id)-1 AS i,
+  sha256(to_json({'cue_id':cue_id,'end_ms':end_ms,'source_text':source_text,'start_ms':start_ms})::VARCHAR) AS h FROM cues) GROUP BY ALL""")
+
+
+@query("cue_set_checksum", ("cue_runs",), """
+SELECT job_id, CASE WHEN count(*)>1 THEN sha256(string_agg(h, '' ORDER BY run)) ELSE max(h) END AS cue_set_checksum, CAST(sum(n) AS BIGINT) AS cues FROM cue_runs GROUP BY job_id""")
 def cue_set_checksum(spark, sf):
     return rv.cue_set_checksum(table(spark, sf, "cues"), ["cue_id", "start_ms", "end_ms", "source_text"])
 

@@ -152,17 +152,23 @@ def attach_suggestions(segments: DataFrame, suggestions: DataFrame) -> DataFrame
 def cue_set_checksum(cues: DataFrame, columns: list[str], *, width: int = seq.HOUR_MS, fan_in: int = 1024) -> DataFrame:
     """One checksum per recording over its cues in order: hashes of rows, of runs of rows, of runs of runs.
 
-    Hashing by levels keeps every step to ``fan_in`` hashes, however long the recording is.
+    Hashing by levels keeps every step to ``fan_in`` hashes, however long the recording is. A recording is done when one hash is left,
+    so its checksum does not depend on the others of the table.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
     r = seq.ranked(cues, JOB, ORDER, "rn", width=width).select("job_id", (F.col("rn") - 1).alias("i"), row.alias("h"))
     total = r.groupBy("job_id").agg(F.count("*").alias("cues"))
+    done = None
     while True:
         r = r.groupBy("job_id", F.expr(f"i div {fan_in}").alias("i2")).agg(
             F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("i", "h")))["h"], ""), 256).alias("h")
         ).withColumnRenamed("i2", "i")
         r = cut(r)
-        if r.where("i > 0").isEmpty():
+        longer = r.where("i > 0").select("job_id").distinct()
+        if longer.isEmpty():
             break
-    top = r.groupBy("job_id").agg(F.max("h").alias("cue_set_checksum"))
+        whole = r.join(longer, "job_id", "left_anti")
+        done = whole if done is None else done.unionByName(whole)
+        r = r.join(longer, "job_id", "left_semi")
+    top = (r if done is None else done.unionByName(r)).groupBy("job_id").agg(F.max("h").alias("cue_set_checksum"))
     return top.join(total, "job_id").select("job_id", "cue_set_checksum", "cues")
