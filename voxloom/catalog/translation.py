@@ -630,6 +630,18 @@ def attach_suggestions(spark, sf):
     return r.select("job_id", "segment_id", F.greatest(n, F.lit(0)).alias("n_suggestions"), F.array_join("risk_flags", "|").alias("risk_flags"))
 
 
+@query("attached_suggestions", ("segments",), """
+SELECT job_id, segment_id, segment_id||':doctor:1' AS candidate_id, 'dr' AS suggested_normalized, 0.5::DOUBLE AS confidence, source_text AS original, 'reads '||n_words::VARCHAR AS reason, 'calculus.dr' AS rule_id
+FROM segments WHERE job_id%3=0 AND chunk_id%4<2""")
+def attached_suggestions(spark, sf):
+    """Whole records of the suggestions that segments carry."""
+    got, cand = _suggestions(spark, sf)
+    s = table(spark, sf, "segments")
+    why = s.select("job_id", "segment_id", F.col("source_text").alias("original"), F.concat(F.lit("reads "), F.col("n_words").cast("string")).alias("reason"), F.lit("calculus.dr").alias("rule_id"))
+    r = rv.attach_suggestions(s, rv.accepted_suggestions(got, cand).join(why, ["job_id", "segment_id"]))
+    return r.select("job_id", "segment_id", F.inline("normalization_suggestions"))
+
+
 @query("cue_projection_v2", ("cues",), """
 SELECT job_id, cue_id, start_ms, end_ms, end_ms-start_ms AS duration_ms, source_text, source_text AS source_text_raw, CASE WHEN sentence_no%3=0 THEN 'said' ELSE source_text END AS display_text,
  'said' AS spoken_text, '' AS risk_flags FROM cues""")

@@ -135,14 +135,24 @@ def accepted_suggestions(suggestions: DataFrame, candidates: DataFrame) -> DataF
 
 
 def attach_suggestions(segments: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Join suggestions per segment, after those it already carries, and flag the segment once."""
+    """Join suggestions per segment, after those it already carries, and flag the segment once.
+
+    Suggestions keep their original words, reason and rule where either side has such columns; null on the side without.
+    """
+    carried = segments.schema["normalization_suggestions"].dataType.elementType.names if "normalization_suggestions" in segments.columns else []
+    base = ["candidate_id", "suggested_normalized", "confidence"]
+    more = [c for c in ("original", "reason", "rule_id") if c in suggestions.columns or c in carried]
+    own = [F.col(c) if c in suggestions.columns else F.lit(None).cast("string").alias(c) for c in more]
     s = suggestions.where("trim(segment_id) <> ''").groupBy("job_id", "segment_id").agg(
         # answers to one segment's few candidates
-        F.array_sort(F.collect_list(F.struct("candidate_id", "suggested_normalized", "confidence"))).alias("_new")
+        F.array_sort(F.collect_list(F.struct(*base, *own))).alias("_new")
     )
     flag = F.array(F.lit("source_normalization_llm_suggestion"))
     j = segments.join(s, ["job_id", "segment_id"], "left")
     has = F.col("_new").isNotNull()
+    if carried:
+        fill = lambda x: F.struct(*[(x[c] if c in carried else F.lit(None).cast("string")).alias(c) for c in base + more])
+        j = j.withColumn("normalization_suggestions", F.transform("normalization_suggestions", fill))
     old = F.coalesce("normalization_suggestions", F.array().cast(s.schema["_new"].dataType)) if "normalization_suggestions" in segments.columns else None
     got = F.col("_new") if old is None else F.when(has, F.concat(old, "_new")).otherwise(F.col("normalization_suggestions"))
     flags = F.when(has, F.array_union("risk_flags", flag)).otherwise(F.col("risk_flags"))
