@@ -8,7 +8,7 @@ from voxloom.operators import glossary as gl
 from voxloom.operators import review as rv
 from voxloom.operators import transcript as tr
 from voxloom.operators import translation as tn
-from voxloom.sources.derive import table
+from voxloom.sources.derive import doc_lines, table
 
 W = r"[\p{L}\p{N}_]"
 
@@ -424,12 +424,12 @@ SELECT job_id, CAST(b AS BIGINT) AS block_no, rn-b*5 AS place, segment_id FROM (
  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY chunk_id)-1 AS rn, count(*) OVER (PARTITION BY job_id) AS n FROM doc_lines) d,
  LATERAL (SELECT unnest(range(0, CAST(greatest(0,ceil((n-8)/5.0)) AS BIGINT)+1)) AS b) WHERE rn>=b*5 AND rn<b*5+8""")
 def overlap_blocks(spark, sf):
-    return tn.overlap_blocks(table(spark, sf, "doc_lines"), block_size=8, overlap=3, order=["chunk_id"], width=4096)
+    return tn.overlap_blocks(doc_lines(spark, sf), block_size=8, overlap=3, order=["chunk_id"], width=4096)
 
 
 @query("context_blocks")
 def context_blocks(spark, sf):
-    return tn.context_blocks(table(spark, sf, "doc_lines"), order=["chunk_id"], width=4096)
+    return tn.context_blocks(doc_lines(spark, sf), order=["chunk_id"], width=4096)
 
 
 def _linked(spark, sf):

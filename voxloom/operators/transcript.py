@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from voxloom.session import cut
 
 ORDER = ["start_ms", "end_ms", "pos"]
 JOB = ["job_id"]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_timeline(words: DataFrame, *, width: int = seq.HOUR_MS) -> DataFrame:
@@ -193,15 +197,30 @@ def repeat_islands(words: DataFrame, *, min_words: int = 8, width: int = seq.HOU
     return w.join(c, ["job_id", "rn"], "left")
 
 
+def _shingles(tokens: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each run of ``n`` tokens (a polynomial of their hashes)."""
+    out = np.zeros(max(len(tokens) - n + 1, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n if len(out) else 0):
+            out = out * _STEP + tokens[k : k + len(out)].view(np.uint64)
+    return out
+
+
 def _collapse(tokens: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     """Kept indexes, and edits (first kept, first removed, last removed, copies) in the order made.
 
-    Each round takes the shortest phrase that is followed by itself, then the earliest one.
+    Each round takes the shortest phrase that is followed by itself, then the earliest one. A phrase of
+    ``size`` words and its copy share ``size - least + 1`` shingles in a row, so of those only every such
+    one is compared, and the words only where one agrees.
     """
     kept, edits = np.arange(len(tokens)), []
     while True:
         seen, found = tokens[kept], None
+        shingle = _shingles(seen, least)
         for size in range(least, len(seen) // 2 + 1):
+            step = size - least + 1
+            if not (shingle[:-size:step] == shingle[size::step]).any():
+                continue
             same = np.concatenate(([0], (seen[:-size] == seen[size:]).astype(np.int8), [0]))
             edge = np.flatnonzero(np.diff(same))
             begin, length = edge[::2], edge[1::2] - edge[::2]
@@ -217,6 +236,114 @@ def _collapse(tokens: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[in
         kept = np.delete(kept, np.arange(a, b))
 
 
+def _islands(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of words that shingles found more than once cover."""
+    shingle = _shingles(tokens, least)
+    order = np.sort(shingle)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return twice.view(np.int64), twice.view(np.int64)
+    begin = np.flatnonzero(np.isin(shingle, twice))
+    gap = np.flatnonzero(np.diff(begin) > least)
+    return begin[np.concatenate(([0], gap + 1))], begin[np.concatenate((gap, [len(begin) - 1]))] + least - 1
+
+
+def _recordings(words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per row of an Arrow column of segments of word hashes (0: no letter or digit): hashes, and words of each segment."""
+    flat = words.flatten()
+    hashes = flat.flatten().to_numpy(zero_copy_only=False)
+    sizes = flat.value_lengths().to_numpy(zero_copy_only=False)
+    segment = at = 0
+    for n in words.value_lengths().to_pylist():
+        own = sizes[segment : segment + (n or 0)]
+        total = int(own.sum())
+        yield hashes[at : at + total], own
+        segment, at = segment + (n or 0), at + total
+
+
+def _cell(segments: Column) -> Column:
+    """Hashes of the words of each segment, as they are compared."""
+
+    def compared(word: Column) -> Column:
+        tok = tx.comparison_token(word)
+        return F.when(tok == "", F.lit(0).cast("long")).otherwise(F.xxhash64(tok))
+
+    return F.transform(segments, lambda s: F.transform(s, compared))
+
+
+def islands_in_cells(recordings: DataFrame, segments: Column, *, min_words: int = 8) -> DataFrame:
+    """``repeat_islands`` of recordings that are one row each: (job_id, island, first_rank, last_rank), without a shuffle.
+
+    ``segments`` holds the words of each segment in order (array of arrays). A row with its words is one cell of
+    the input and stays in its task. Words are compared by 64-bit hashes. A null row has no islands.
+    """
+
+    @F.arrow_udf("array<struct<first_rank:bigint,last_rank:bigint>>")
+    def find(words: pa.Array) -> pa.Array:
+        rows = []
+        for hashes, _ in _recordings(words):
+            first, last = _islands(hashes[hashes != 0], min_words)
+            rows.append([{"first_rank": a + 1, "last_rank": b + 1} for a, b in zip(first.tolist(), last.tolist())])
+        return pa.array(rows, pa.list_(pa.struct([("first_rank", pa.int64()), ("last_rank", pa.int64())])))
+
+    found = recordings.select("job_id", F.posexplode(find(_cell(segments))).alias("island", "i"))
+    return found.select("job_id", F.col("island").cast("long").alias("island"), "i.first_rank", "i.last_rank")
+
+
+_PLACE = "struct<segment:int,word:int>"
+_EDIT = (
+    f"struct<retained_rn:bigint,edit_no:int,copies:int,phrase_words:int,retained:{_PLACE},first:{_PLACE},last:{_PLACE},"
+    "segments:array<int>>"
+)
+
+
+def collapse_in_cells(recordings: DataFrame, segments: Column, *, min_words: int = 8) -> DataFrame:
+    """``collapse_repeats`` of recordings that are one row each: their rows with ``edits`` and ``gone``, without a shuffle.
+
+    Places are numbers of a segment and of a word in it, from 0. ``edits`` say what was removed, ``gone`` lists per
+    segment the words removed; both are null where nothing repeats. Input as for ``islands_in_cells``.
+    """
+    place = pa.struct([("segment", pa.int32()), ("word", pa.int32())])
+    edit = pa.struct(
+        [("retained_rn", pa.int64()), ("edit_no", pa.int32()), ("copies", pa.int32()), ("phrase_words", pa.int32()),
+         ("retained", place), ("first", place), ("last", place), ("segments", pa.list_(pa.int32()))]
+    )
+    result = pa.struct([("edits", pa.list_(edit)), ("gone", pa.list_(pa.list_(pa.int32())))])
+
+    def rewrite(hashes: np.ndarray, sizes: np.ndarray) -> dict | None:
+        place = np.flatnonzero(hashes)
+        content = hashes[place]
+        edits, gone = [], np.zeros(len(content) + 1, bool)
+        ends = np.cumsum(sizes)
+        segment = np.searchsorted(ends, place, "right")
+        word = place - (ends - sizes)[segment]
+        at = lambda i: {"segment": int(segment[i]), "word": int(word[i])}
+        for lo, hi in zip(*_islands(content, min_words)):
+            alive = np.ones(hi - lo + 1, bool)
+            for n, (first, a, b, copies) in enumerate(_collapse(content[lo : hi + 1], min_words)[1], start=1):
+                span = a + np.flatnonzero(alive[a : b + 1])
+                alive[span] = False
+                edits.append(
+                    {"retained_rn": int(lo + first + 1), "edit_no": n, "copies": copies, "phrase_words": len(span) // (copies - 1),
+                     "retained": at(lo + first), "first": at(lo + a), "last": at(lo + b), "segments": np.unique(segment[lo + span]).tolist()}
+                )
+            gone[lo + 1 : hi + 2] = ~alive
+        if not edits:
+            return None
+        # marks without letters go with the word before them
+        out = np.flatnonzero(gone[np.cumsum(hashes != 0)])
+        owner = np.searchsorted(ends, out, "right")
+        cut_at = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        inside = (out - (ends - sizes)[owner]).tolist()
+        return {"edits": edits, "gone": [inside[a:b] for a, b in zip(cut_at[:-1].tolist(), cut_at[1:].tolist())]}
+
+    @F.arrow_udf(f"struct<edits:array<{_EDIT}>,gone:array<array<int>>>")
+    def find(words: pa.Array) -> pa.Array:
+        return pa.array([rewrite(*r) for r in _recordings(words)], result)
+
+    return recordings.withColumn("_r", find(_cell(segments))).select("*", "_r.edits", "_r.gone").drop("_r")
+
+
 def collapse_repeats(words: DataFrame, *, min_words: int = 8, width: int = seq.HOUR_MS) -> tuple[DataFrame, DataFrame]:
     """(kept words, edits): immediate repeats of a passage of at least ``min_words`` words removed.
 
