@@ -10,10 +10,14 @@ from voxloom.operators import glossary as gl
 
 
 def latest_manifest(manifest: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One entry per artifact, the last written wins; partial aggregates travel, not all versions."""
+    """One entry per artifact, the last written wins; partial aggregates travel, not all versions.
+
+    Where the order names every column beside the key, the greatest order is the entry, and no column travels twice.
+    """
     rest = [c for c in manifest.columns if c not in key]
-    m = manifest.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("m"))
-    return m.select(*key, "m.*")
+    last = F.max(F.struct(*order)) if set(rest) <= set(order) else F.max_by(F.struct(*rest), F.struct(*order))
+    m = manifest.groupBy(*key).agg(last.alias("m"))
+    return m.select(*key, *[F.col("m")[c].alias(c) for c in rest])
 
 
 def invalid_artifacts(manifest: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
