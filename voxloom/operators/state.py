@@ -117,24 +117,31 @@ def resume_plan(
     ``progress`` (job_id, stage, status), ``artifacts`` (job_id, name, version, path, sha256) and
     ``files`` (job_id, path, sha256). The stage and requirement lists are fixed and tiny.
     """
-    jobs = progress.select("job_id").distinct()
     if from_stage is not None:
         keep = from_stage == "tts" and not no_cache
-        return jobs.select(
+        return progress.select("job_id").distinct().select(
             "job_id", F.lit(from_stage).alias("start_stage"), F.lit(False).alias("already_completed"),
             F.lit(keep).alias("preserve_checkpoints"), F.lit("from_stage_requested").alias("reason"),
         )
-    stages = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("stage")) for i, s in enumerate(rules.STAGES)])
-    every = jobs.select("job_id", F.inline(stages)).join(progress.select("job_id", "stage", "status"), ["job_id", "stage"], "left")
-    needs = F.array(
-        *[F.struct(F.lit(s).alias("stage"), F.lit(n).alias("name"), F.lit(v).alias("version")) for s, n, v in rules.REQUIRED_ARTIFACTS]
-    )
-    valid = artifacts.join(files, ["job_id", "path", "sha256"], "left_semi").select("job_id", "name", "version")
-    lacking = jobs.select("job_id", F.inline(needs)).join(valid, ["job_id", "name", "version"], "left_anti")
-    lacking = lacking.groupBy("job_id", "stage").agg(F.count("*").alias("lacks"))
-    bad = every.join(lacking, ["job_id", "stage"], "left").where("NOT status <=> 'completed' OR lacks > 0")
-    first = bad.groupBy("job_id").agg(F.min_by("stage", "ord").alias("first_bad"))
-    p = jobs.join(first, "job_id", "left")
+    # of each row only which stages or artifacts it speaks of moves on, as bits
+    zero = F.lit(0).cast("long")
+    bits = F.array(*[F.lit(1 << i).cast("long") for i in range(len(rules.STAGES))])
+    bit = F.coalesce(F.get(bits, (_ordinal(F.col("stage")) - 1).cast("int")), zero)
+    wrong = F.when(F.col("status").eqNullSafe("completed"), zero).otherwise(bit)
+    told = progress.select("job_id", F.lit(True).alias("job"), bit.alias("seen"), wrong.alias("wrong"), zero.alias("has"))
+    needs = [(F.lit(1 << i).cast("long"), (F.col("name") == n) & (F.col("version") == v)) for i, (_, n, v) in enumerate(rules.REQUIRED_ARTIFACTS)]
+    has = sum((F.when(same, b).otherwise(zero) for b, same in needs), zero)
+    valid = artifacts.select("job_id", "path", "sha256", has.alias("has")).where("has > 0").join(files, ["job_id", "path", "sha256"], "left_semi")
+    told = told.unionByName(valid.select("job_id", F.lit(False).alias("job"), zero.alias("seen"), zero.alias("wrong"), "has"))
+    p = told.groupBy("job_id").agg(F.max("job").alias("job"), *[F.bit_or(c).alias(c) for c in ("seen", "wrong", "has")]).where("job")
+
+    def bad(i: int, stage: str) -> Column:
+        must = sum(1 << k for k, (s, _, _) in enumerate(rules.REQUIRED_ARTIFACTS) if s == stage)
+        done = (F.getbit("seen", F.lit(i)) == 1) & (F.getbit("wrong", F.lit(i)) == 0) & (F.col("has").bitwiseAND(F.lit(must).cast("long")) == must)
+        return F.when(~done, F.lit(stage))
+
+    # rows without a job belong to no job, so none of them is invalid
+    p = p.withColumn("first_bad", F.when(F.col("job_id").isNotNull(), F.coalesce(*[bad(i, s) for i, s in enumerate(rules.STAGES)])))
     none = F.col("first_bad").isNull()
     if no_cache:
         start = F.coalesce("first_bad", F.lit("tts"))
