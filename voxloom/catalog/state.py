@@ -396,8 +396,13 @@ SELECT job_id, stage, count(*) FILTER (status='completed') AS done, count(*) AS
  FROM manifest GROUP BY ALL) GROUP BY ALL""")
 def progress_stream(spark, sf):
     src, out, cp = _scratch(spark, "events"), _scratch(spark, "status"), _scratch(spark, "cp")
-    _status_events(spark, sf).repartition(3).write.parquet(src)
-    e = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
+    s = _status_events(spark, sf)
+    # events lie as they were read, in files that do not grow; three triggers take them all
+    if s.rdd.getNumPartitions() < 3:
+        s = s.repartition(3, *s.columns)
+    s.write.parquet(src)
+    files = len(spark.read.schema(EVENTS).parquet(src).inputFiles())
+    e = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(src)
     sj.progress_stream(e, out, cp)
     return sj.stream_result(spark, out)
 
