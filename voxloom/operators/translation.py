@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions import text as tx
 from voxloom.operators import glossary as gl
@@ -176,6 +177,19 @@ def _shared_prefix(prev: list[str], cur: list[str]) -> int:
     return n if n >= 5 else 0
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _dropped(chains: pa.Array) -> pa.Array:
+    """Per chain of cues (lists of words) the words each cue loses to the one before, itself trimmed; many chains a batch."""
+    out = []
+    for chain in chains.to_pylist():
+        prev, drop = [], []
+        for w in chain:
+            drop.append(_shared_prefix(prev, w))
+            prev = w[drop[-1] :]
+        out.append(drop)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def trim_boundary_repeats(cues: DataFrame, *, width: int = seq.HOUR_MS) -> DataFrame:
     """Cues that repeat at least five leading words of the (already trimmed) previous cue lose them.
 
@@ -198,21 +212,8 @@ def trim_boundary_repeats(cues: DataFrame, *, width: int = seq.HOUR_MS) -> DataF
     c = seq.islands(c, JOB, order, ["linked"], lambda p, x: ~x["linked"], "chain", width=width)
     c = cut(c.select("job_id", *order, "t", "w", "linked", "chain"))
     busy = c.where("linked").select("job_id", "chain").distinct()
-    job_type = c.schema["job_id"].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        prev: list[str] = []
-        drop = []
-        for w in pdf["w"]:
-            k = _shared_prefix(prev, list(w))
-            drop.append(k)
-            prev = list(w)[k:]
-        return pdf[["job_id", "cue_id"]].assign(drop_words=drop)
-
-    chained = c.join(busy, ["job_id", "chain"], "left_semi").groupBy("job_id", "chain").applyInPandas(
-        fold, f"job_id {job_type}, cue_id string, drop_words int"
-    )
+    chains = c.join(busy, ["job_id", "chain"], "left_semi").groupBy("job_id", "chain").agg(F.array_sort(F.collect_list(F.struct(*order, "w"))).alias("e"))
+    chained = chains.select("job_id", F.inline(F.arrays_zip(F.col("e.cue_id").alias("cue_id"), _dropped(F.col("e.w")).alias("drop_words"))))
     r = c.join(chained, ["job_id", "cue_id"], "left").withColumn("drop_words", F.coalesce("drop_words", F.lit(0)))
     # cut the text behind the n-th word, then leading blanks and marks
     pattern = F.concat(
