@@ -511,3 +511,43 @@ def test_mix_of_awkward_and_empty_tables(spark, awkward, empty):
     assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in odd.collect()}
     assert corpus_pipeline.source_mix(spark, empty, SF).collect() == []
     assert corpus_pipeline.token_ids(spark, empty, SF).collect() == []
+
+
+def test_suffix_array_in_small_ranges():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    found, on = [], {}
+    for k in range(300):
+        blocks = [" ".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 14]))) for _ in range(rng.randint(0, 3))]
+        host, stream, page = rng.randrange(2), rng.randrange(100), rng.randrange(100)
+        found.append((host, stream, page, blocks))
+        for words in map(str.split, blocks):
+            for i in range(max(len(words) - 7, 1)):
+                on.setdefault((host, *words[i : i + 8]), set()).add((stream, page, stream % 3 > 0))
+    n = {k: [min(len({r[0] for r in v if r[2] or a}), len({r[1] for r in v if r[2] or a})) for a in (True, False)] for k, v in on.items()}
+    enough = lambda k, x: x >= (2 if len(k) == 9 else 3)
+    want = sorted(enough(k, text) for k, (every, text) in n.items() if enough(k, every))
+    found = [(*r[:3], *((None, r[3]) if r[1] % 3 else (r[3], []))) for r in found]
+    columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())))]
+    rows = pa.RecordBatch.from_arrays(columns, ["_host", "stream", "_page", "goes", "in_doubt"])
+    runs = pa.Table.from_batches(pages._suffixes(rows.slice(k, 20) for k in range(0, 300, 20))).sort_by([("_host", "ascending"), ("suffix", "ascending")])
+    for size in (1, 7, 1_000):
+        got = pa.Table.from_batches(pages._shared(iter(runs.to_batches(max_chunksize=size)))).to_pylist()
+        assert len(got) == len({(r["_host"], r["key"]) for r in got})
+        assert sorted(r["of_text"] for r in got) == want and 20 < sum(want) < len(want)
+
+
+def test_every_page_goes_to_the_suffix_array(spark):
+    plug = "follow us for more stories from this place every day"
+    rows = [(k, "http://h.example/", f"<article><p>Text of page {k}</p></article><footer>{plug}</footer>") for k in range(2)]
+    # unmarked pages, a main part without text, a name that may mean the heading of the article
+    rows += [(k, "http://h.example/", f"<div><p>Other text {k}</p><p>{plug}</p></div>") for k in (2, 3)]
+    rows += [(4, "http://h.example/", f"<main></main><div><p>Third text</p></div><div>{plug}</div>")]
+    rows += [(k, "http://h.example/", f'<article><div class="entry-header"><h1>Title {k}</h1>{plug}</div><p>{plug}</p></article>') for k in (5, 6)]
+    rows += [(7, "http://h.example/", '<article><p>A</p><div class="share-buttons">Share</div><div class="site-header">H</div><div class="share-price">Up</div></article>')]
+    out = pages.page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.text for r in out}
+    want = {k: f"Text of page {k}" for k in (0, 1)} | {k: f"Other text {k}" for k in (2, 3)} | {4: "Third text", 7: "A\nUp"}
+    assert got == want | {k: f"Title {k}\n{plug}" for k in (5, 6)}
+    assert {r.page_id: r.n_repeats for r in out} == dict.fromkeys(range(7), 3) | {7: 0}
