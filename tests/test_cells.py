@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.catalog import QUERIES
 from voxloom.functions import text as tx
+from voxloom.operators import timeline as tl
 from voxloom.operators import transcript as tr
 from voxloom.session import shared_dir
 from voxloom.sources.derive import doc_lines, line_words
@@ -125,3 +126,20 @@ def test_documents_in_almost_as_many_splits_as_cores_are_not_moved(spark, tmp_pa
         out = QUERIES["normalize_spoken"](spark, f"{tmp_path}/{files}")
         assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == moves
         assert out.count() == cores * 4
+
+
+def test_totals_of_recordings_move_no_cues(spark):
+    cues = spark.createDataFrame([(1, 100, 200, "a"), (1, 300, 400, "b"), (2, 0, 50, "c"), (4, 0, 9, "e"), (None, 0, 5, "d")], "job_id long, start_ms long, end_ms long, cue_id string")
+    totals = spark.createDataFrame([(1, 450), (2, 50), (3, 70), (5, 0), (None, 80)], "job_id long, total_duration_ms long")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        moved = [tl.speech_gaps(cues, t)._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") for t in (None, totals)]
+        assert moved[1] - moved[0] == 1
+        got = {tuple(r) for r in tl.speech_gaps(cues, totals).select("job_id", "position", "start_ms", "end_ms", "preceding_cue_id", "following_cue_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {
+        (1, "before_first", 0, 100, None, "a"), (1, "between_speech", 200, 300, "a", "b"), (1, "after_last", 400, 450, "b", None),
+        (3, "full_track", 0, 70, None, None), (None, "full_track", 0, 80, None, None),
+    }

@@ -100,10 +100,6 @@ def speech_gaps(
     n = seq.neighbours(
         cues, JOB, ["start_ms", "end_ms", "cue_id"], ["start_ms", "cue_id"], prev="p", nxt="n", width=width
     )
-    if totals is not None:
-        n = n.join(totals.select("job_id", "total_duration_ms"), "job_id", "left")
-    else:
-        n = n.withColumn("total_duration_ms", F.lit(None).cast("long"))
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
 
     def gap(position: str, a: Column, b: Column, before: Column, after: Column) -> Column:
@@ -119,17 +115,15 @@ def speech_gaps(
             F.col("n.start_ms") > F.col("end_ms"),
             gap("between_speech", F.col("end_ms"), F.col("n.start_ms"), me, F.col("n.cue_id")),
         ),
-        F.when(
-            F.col("n").isNull() & (F.col("total_duration_ms") > F.col("end_ms")),
-            gap("after_last", F.col("end_ms"), F.col("total_duration_ms"), me, none),
-        ),
     )
     g = n.select("job_id", F.inline(F.filter(found, lambda x: x.isNotNull())))
     if totals is not None:
-        empty = totals.where("total_duration_ms > 0").join(cues.select("job_id").distinct(), "job_id", "left_anti")
-        g = g.unionByName(
-            empty.select("job_id", F.inline(F.array(gap("full_track", zero, F.col("total_duration_ms"), none, none))))
-        )
+        # totals meet one row per job, so the cues do not move for them
+        last = cues.groupBy("job_id").agg(F.max(F.struct("start_ms", "end_ms", "cue_id")).alias("c"))
+        t, total = totals.select("job_id", "total_duration_ms").join(last, "job_id", "left"), F.col("total_duration_ms")
+        found = F.when(F.col("c").isNull(), F.when(total > 0, gap("full_track", zero, total, none, none)))
+        found = found.otherwise(F.when(total > F.col("c.end_ms"), gap("after_last", F.col("c.end_ms"), total, F.col("c.cue_id"), none)))
+        g = g.unionByName(t.select("job_id", F.inline(F.filter(F.array(found), lambda x: x.isNotNull()))))
     dur = F.col("end_ms") - F.col("start_ms")
     return g.select(
         "*", dur.alias("duration_ms"), preserve_pause_ms(dur).alias("preserve_pause_ms"),
