@@ -56,6 +56,24 @@ def test_rank_running_neighbours_islands(df, rows, width):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [13, 60, 100_000])
+def test_pieces_are_islands_cut_at_blocks(df, rows, width):
+    odd = df.unionByName(df.limit(1).withColumn("job_id", F.lit(None).cast("long"))).unionByName(df.limit(1).withColumn("start_ms", F.lit(None).cast("long")))
+    got = seq.pieces(odd, K, ORDER, ["end_ms"], lambda p, c: c["start_ms"] - p["end_ms"] > 20, "isl", width=width).collect()
+    assert all(i.start_ms // width == r._blk for r in got for i in r["items"])
+    assert len({(r.job_id, r.isl, r._blk) for r in got}) == len(got)
+    runs = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.job_id, r.isl, r._blk)):
+        runs[r.job_id, r.isl] += [(r.job_id, i.start_ms, i.pos, i.end_ms) for i in r["items"]]
+    want = {}
+    for job, rs in by_job(rows).items():
+        isl = 0
+        for i, r in enumerate(rs):
+            isl += bool(i and r[1] - rs[i - 1][3] > 20)
+            want.setdefault((job, isl), []).append(r)
+    assert runs == want
+
+
 @pytest.mark.parametrize("width", [60, 100_000])
 def test_lookahead(df, rows, width):
     got = {(r.job_id, r.pos): [x.pos for x in r.a] for r in seq.lookahead(df, K, ORDER, ["end_ms"], 50, "a", width=width).collect()}

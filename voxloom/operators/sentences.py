@@ -28,22 +28,34 @@ def source_sentences(words: DataFrame, *, natural_pause_ms: int = 700, width: in
         return p["_term"] | pause
 
     order = ["start_ms", "end_ms", "pos"]
-    w = seq.islands(
-        w, ["job_id"], order, ["start_ms", "end_ms", "_term", "_left", "_right"], starts, "sentence_no", width=width
+    w = seq.pieces(
+        w, ["job_id"], order, ["text", "segment_id", "_term", "_left", "_right"], starts, "sentence_no", width=width
     )
-    item = F.struct(*order, "text", "segment_id", "_term")
-    out = w.groupBy("job_id", (F.col("sentence_no") + 1).alias("sentence_no")).agg(
-        F.array_sort(F.collect_list(item)).alias("w")
+    first, last = F.col("items")[0], F.element_at("items", -1)
+    w = w.select(
+        "job_id",
+        (F.col("sentence_no") + 1).alias("sentence_no"),
+        F.struct(
+            "_blk",
+            first["start_ms"].alias("start_ms"),
+            last["end_ms"].alias("end_ms"),
+            last["_term"].alias("term"),
+            tx.join_tokens(F.col("items.text")).alias("text"),
+            F.array_distinct("items.segment_id").alias("segment_ids"),
+            F.size("items").cast("long").alias("n"),
+        ).alias("p"),
     )
-    last = F.element_at("w", -1)
+    # most sentences lie in one block; only whole texts move here, no words
+    out = w.groupBy("job_id", "sentence_no").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    last = F.element_at("p", -1)
     return out.select(
         "job_id",
         "sentence_no",
         F.format_string("sentence_%06d", "sentence_no").alias("segment_id"),
-        F.col("w")[0]["start_ms"].alias("start_ms"),
+        F.col("p")[0]["start_ms"].alias("start_ms"),
         last["end_ms"].alias("end_ms"),
-        tx.join_tokens(F.col("w.text")).alias("source_text"),
-        F.array_distinct("w.segment_id").alias("parent_segment_ids"),
-        F.when(last["_term"], "sentence_punctuation").otherwise("natural_pause_or_end").alias("boundary_reason"),
-        F.size("w").cast("long").alias("n_words"),
+        F.when(F.size("p") == 1, F.col("p")[0]["text"]).otherwise(tx.join_tokens(F.col("p.text"))).alias("source_text"),
+        F.array_distinct(F.flatten("p.segment_ids")).alias("parent_segment_ids"),
+        F.when(last["term"], "sentence_punctuation").otherwise("natural_pause_or_end").alias("boundary_reason"),
+        F.aggregate("p.n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"),
     )

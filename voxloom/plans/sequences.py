@@ -180,6 +180,41 @@ def islands(
     return rows.drop("_blk", "_cur", "_prev", "_brk", "_run", "_base")
 
 
+def pieces(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    fields: Sequence[str],
+    starts: Callable[[Column, Column], Column],
+    name: str,
+    *,
+    width: int = HOUR_MS,
+) -> DataFrame:
+    """Maximal runs per key, numbered from 0 as by ``islands``, as rows (key, name, _blk, items): a run's items within one block.
+
+    ``fields`` are the items' columns besides ``order``. A block is one cell, so rows move once, packed; a run that crosses
+    block edges gives a row in each block, in the order of ``_blk``. Rows without key or place in the order are left out.
+    """
+    rows = _blocked(df, order, width).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*key, "_blk"]))
+    item = F.struct(*order, *[f for f in fields if f not in order])
+    # both uses below read the same cells, so that Spark shuffles them once
+    cells = rows.groupBy(*key, "_blk").agg(F.array_sort(F.collect_list(item)).alias("_w"))
+    at = lambda i: F.get(F.col("_w"), i)
+    begin = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | F.coalesce(starts(at(i - 1), at(i)), F.lit(False)))
+    cells = pin(cells, _begin=begin)
+    edges = cells.select(*key, "_blk", (F.size("_begin") - 1).alias("_inner"), at(F.lit(0)).alias("_first"), at(F.size("_w") - 1).alias("_last"))
+    across = _across(key)
+    edges = edges.withColumn("_before", F.lag("_last").over(across))
+    # an edge that is null starts nothing, as inside a block
+    edges = edges.withColumn("_edge", F.when(F.col("_before").isNull(), 0).otherwise(starts(F.col("_before"), F.col("_first")).cast("long")))
+    inner = F.coalesce(F.sum("_inner").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(*key, "_blk", (F.sum("_edge").over(across.rowsBetween(Window.unboundedPreceding, 0)) + inner).alias("_base"))
+    end = lambda k: F.coalesce(F.get("_begin", k + 1), F.size("_w"))
+    runs = F.transform("_begin", lambda b, k: F.slice("_w", b + 1, end(k) - b))
+    out = _attach(cells, edges, key).select(*key, "_blk", "_base", F.posexplode(runs).alias("_k", "items"))
+    return out.select(*key, (F.col("_base") + F.col("_k")).alias(name), "_blk", "items")
+
+
 def lookahead(
     df: DataFrame,
     key: Sequence[str],
