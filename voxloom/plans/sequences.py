@@ -192,13 +192,13 @@ def pieces(
 ) -> DataFrame:
     """Maximal runs per key, numbered from 0 as by ``islands``, as rows (key, name, _blk, items): a run's items within one block.
 
-    ``fields`` are the items' columns besides ``order``. A block is one cell, so rows move once, packed; a run that crosses
-    block edges gives a row in each block, in the order of ``_blk``. Rows without key or place in the order are left out.
+    ``fields`` are the items' columns besides ``order``. A block is one cell, and rows move once; a run that crosses block
+    edges gives a row in each block, in the order of ``_blk``. Rows without key or place in the order are left out.
     """
     rows = _blocked(df, order, width).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*key, "_blk"]))
     item = F.struct(*order, *[f for f in fields if f not in order])
-    # both uses below read the same cells, so that Spark shuffles them once
-    cells = rows.groupBy(*key, "_blk").agg(F.array_sort(F.collect_list(item)).alias("_w"))
+    # rows move unpacked: lists of all keys at once would spill before the shuffle. Both uses below read the same cells, so Spark shuffles them once
+    cells = rows.repartition(*key, "_blk").groupBy(*key, "_blk").agg(F.array_sort(F.collect_list(item)).alias("_w"))
     at = lambda i: F.get(F.col("_w"), i)
     begin = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | F.coalesce(starts(at(i - 1), at(i)), F.lit(False)))
     cells = pin(cells, _begin=begin)
