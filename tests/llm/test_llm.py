@@ -551,3 +551,14 @@ def test_every_page_goes_to_the_suffix_array(spark):
     want = {k: f"Text of page {k}" for k in (0, 1)} | {k: f"Other text {k}" for k in (2, 3)} | {4: "Third text", 7: "A\nUp"}
     assert got == want | {k: f"Title {k}\n{plug}" for k in (5, 6)}
     assert {r.page_id: r.n_repeats for r in out} == dict.fromkeys(range(7), 3) | {7: 0}
+
+
+def test_main_parts_go_to_the_suffix_array(spark):
+    shared = "one passage of ten words that two articles both have"
+    rows = [(k, "http://h.example/", f"<main><p>{'own ' * k}{shared}</p><p>Alone {k}</p></main>") for k in range(2)]
+    rows += [(2, "http://other.example/", f"<main><p>{shared}</p></main>"), (3, "http://h.example/", "<main><p>Nothing of it</p></main>")]
+    # text in doubt that a main part has too stays
+    rows += [(4, "http://h.example/", f"<div><p>{shared}</p></div>")]
+    out = pages.page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {0: f"{shared}\nAlone 0", 1: f"own {shared}\nAlone 1", 2: shared, 3: "Nothing of it", 4: shared}
+    assert {r.page_id: r.n_repeats for r in out} == {0: 3, 1: 3, 2: 0, 3: 0, 4: 3}
