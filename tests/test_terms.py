@@ -61,3 +61,21 @@ def test_long_answers_take_little_time():
     assert gl.first_json("see [x {y " * 200 + many + " end }") == many
     assert gl.first_json("[" * 800 + "x") is None and gl.first_json('{"a":' * 300 + '"' + "[" * 20_000) is None
     assert time.time() - t < 2
+
+
+def test_only_stretches_that_are_terms_move(spark):
+    from pyspark.sql import functions as F
+
+    from voxloom.operators import phrases as ph
+
+    rng = random.Random(5)
+    texts = [(1, f"s{i}", " ".join(f"w{rng.randrange(3000)}" for _ in range(200)) + ", É Ôte-w7 É") for i in range(50)]
+    terms = [(t,) for t in {"ôte-w7", "é", "w7 é", "te-w7", "w1 w2", "w5", "w6"} | {f"none {k}" for k in range(500)}]
+    segments = spark.createDataFrame(texts, "job_id long, segment_id string, source_text string")
+    found = ph.stretches(segments, ["job_id", "segment_id"], "source_text", ph.Marks(spark.createDataFrame(terms, "k string"), "k"))
+    got = {(r.segment_id, r._key) for r in found.collect()}
+    want = {(s, t) for _, s, text in texts for (t,) in terms if re.search(rf"(?<!\w){re.escape(t)}(?!\w)", text.lower())}
+    assert want <= got and len(got) < len(want) + 50 * 200 * 0.05 and found.count() == len(got)
+    # a stretch that is no term, as marks may have it, gives no pair; rows of one id are one segment
+    pairs = gl.applicable_terms(segments.unionByName(segments).withColumn("source_text", F.upper("source_text")), spark.createDataFrame([("w5", "W5", "r"), ("o", "Ôte-w7", "r")], "term_id string, original string, vietnamese string"))
+    assert sorted((r.segment_id, r.term_id) for r in pairs.collect()) == sorted([(s, "w5") for s, t in want if t == "w5"] + [(s, "o") for s, t in want if t == "ôte-w7"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.functions import rules
-from voxloom.functions import text as tx
+from voxloom.operators import phrases as ph
 from voxloom.session import cut
 
 
@@ -178,56 +178,40 @@ def response_terms(responses: DataFrame) -> DataFrame:
     return found.unionByName(named)
 
 
-#: A run of word characters, or any other character alone.
-_PIECE = rf"{tx.WORD}+|(?s:.)"
-
-
-def _pieces(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(_PIECE), F.lit(0))
-
-
-def _word(c: Column) -> Column:
-    return F.coalesce(F.rlike(c, F.lit(rf"^{tx.WORD}")), F.lit(False))
+#: Glossaries of up to so many terms may be broadcast; of larger ones each task hashes its own.
+_FEW = 50_000
 
 
 def applicable_terms(segments: DataFrame, terms: DataFrame, scope: list[str] | None = None, used: DataFrame | None = None) -> DataFrame:
     """(segment, term) pairs where the term occurs in the segment as a whole phrase, with the term's columns.
 
-    Texts and terms are cut into pieces: words, and other characters one by one. A posting is (segment, place, piece) for the pieces that
-    terms are found by: of each term the piece that occurs least often in all texts, blanks never. A posting that meets its
-    term is verified by place: the pieces around it must be the term's, and no word may go on before or after them. So a frequent word of a
-    term costs nothing, and a term with a piece that no text has is dropped at once.
+    Texts and terms are cut into pieces: words, and other characters one by one. A term applies where its pieces stand one after the other
+    and no word goes on before or after them. Stretches of a text that may be a term are found where the text lies (``phrases``) and meet
+    the terms by the whole phrase, so no word moves that begins or belongs to no term's phrase, and no text moves.
 
     A term of one character applies where it is listed as used, whatever the text: ``used`` is (*scope or job_id, segment_id, used_term).
-    Case is that of ``lower``; blank terms apply nowhere; terms repeated in ``terms`` are terms of their own.
+    Case is that of ``lower``; blank terms apply nowhere; terms repeated in ``terms`` are terms of their own; segments without id have none.
     """
     scope = scope or []
     seg = ["job_id", "segment_id"]
     keys = [*seg, *[k for k in scope if k not in seg]]
     own = [c for c in terms.columns if c not in scope]
-    t = terms.withColumn("_clean", F.trim("original")).where("_clean <> ''").withColumn("_t", F.monotonically_increasing_id())
-    t = cut(t.select(*scope, "_t", "_clean", F.struct(*own).alias("_term")))
-    long_ = t.where(F.length("_clean") > 1).withColumn("_want", _pieces(F.col("_clean")))
-
-    texts = segments.select(*keys, _pieces(F.col("source_text")).alias("_have"))
-    parts = long_.select(*scope, "_t", "_want", F.posexplode("_want").alias("_k", "_piece")).where("trim(_piece) <> ''")
-    wanted = parts.select("_piece").distinct()
-    postings = cut(texts.select(*keys, F.posexplode("_have").alias("_place", "_piece")).join(wanted, "_piece", "left_semi"))
-    often = postings.groupBy("_piece").agg(F.count("*").alias("_n"))
-    rare = parts.join(often, "_piece", "left").groupBy(*scope, "_t").agg(F.min_by(F.struct("_piece", "_k", "_want"), F.struct(F.coalesce("_n", F.lit(0)), "_k")).alias("_r"))
-    found = postings.join(rare.select(*scope, "_t", "_r._piece", "_r._k", "_r._want"), [*scope, "_piece"])
-    at, size = F.col("_place") - F.col("_k"), F.size("_want")
-    found = found.where(at >= 0).select(*keys, "_t", "_want", at.cast("int").alias("_at")).join(texts, keys)
-    same = F.slice("_have", F.col("_at") + 1, size) == F.col("_want")
-    before = F.when(F.col("_at") > 0, F.get("_have", F.col("_at") - 1))
-    alone = ~(_word(F.get("_want", F.lit(0))) & _word(before)) & ~_word(before) & ~_word(F.get("_have", F.col("_at") + size))
-    pairs = found.where(same & alone).select(*keys, "_t").distinct()
+    t = terms.withColumn("_clean", F.trim("original")).where("_clean <> ''")
+    t = cut(t.select(*scope, F.lower("_clean").alias("_key"), (F.length("_clean") > 1).alias("_long"), F.struct(*own).alias("_term")))
+    long_ = t.where("_long").drop("_long")
+    marks = ph.Marks(long_, "_key")
+    texts = segments.dropna(subset=keys)
+    found = ph.stretches(texts, keys, "source_text", marks)
+    # rows of one id are one segment
+    if texts.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count():
+        found = found.distinct()
+    pairs = found.join(long_ if marks.count <= _FEW else long_.hint("shuffle_hash"), [*scope, "_key"]).select(*keys, "_term")
     if used is not None:
-        short = t.where(F.length("_clean") == 1).select(*scope, "_t", F.lower("_clean").alias("_piece"))
+        short = t.where("NOT _long").drop("_long")
         given = [k for k in keys if k in used.columns]
-        listed = used.select(*given, F.lower(F.trim("used_term")).alias("_piece")).distinct().join(segments.select(*keys).distinct(), given)
-        pairs = pairs.unionByName(listed.join(short, [*scope, "_piece"]).select(*keys, "_t"))
-    return pairs.join(t.select("_t", "_term"), "_t").select(*keys, "_term.*")
+        listed = used.select(*given, F.lower(F.trim("used_term")).alias("_key")).distinct().join(segments.select(*keys).distinct(), given)
+        pairs = pairs.unionByName(listed.join(short, [*scope, "_key"]).select(*keys, "_term"))
+    return pairs.select(*keys, "_term.*")
 
 
 def locked_terms_missing(
