@@ -115,7 +115,7 @@ def silence_chunks(spark, sf):
 
 @query("hard_split")
 def hard_split(spark, sf):
-    w = rec._gap_runs(table(spark, sf, "words"), ["job_id"], 500, rec.seq.HOUR_MS).withColumnRenamed("run", "isl")
+    w = rec._gap_runs(table(spark, sf, "words").drop("text"), ["job_id"], 500, rec.seq.HOUR_MS).withColumnRenamed("run", "isl")
     return rec.hard_split(w, max_chunk_ms=12_000).select("job_id", "chunk_id", "pos", "isl", "piece", "hard")
 
 

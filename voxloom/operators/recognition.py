@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.plans import sequences as seq
 from voxloom.session import cut
@@ -182,16 +188,72 @@ def _gap_runs(words: DataFrame, key: list[str], threshold: int, width: int) -> D
     )
 
 
-def hard_split(words: DataFrame, islands: str = "isl", *, max_chunk_ms: int = 60_000, width: int = seq.HOUR_MS) -> DataFrame:
-    """Cut islands longer than ``max_chunk_ms`` greedily; adds ``piece`` (0-based in the island) and ``hard``.
-
-    The next cut depends only on where the piece starts, so cuts are found for every word by one scan
-    and the path from each island's first word is followed.
-    """
+def _cuts(start: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    """Piece of each word of an island in order: a piece ends before the first word that ends more than ``most`` after its start."""
+    piece, upto, i, n = np.zeros(len(start), np.int64), np.maximum.accumulate(end), 0, 0
+    while i < len(start):
+        # the first word of a piece always stays, however long it is
+        to = max(int(np.searchsorted(upto, start[i] + most, "right")), i + 1)
+        piece[i:to], i, n = n, to, n + 1
+    return piece
+
+
+def _split_cells(words: DataFrame, islands: str, max_chunk_ms: int, width: int) -> DataFrame:
+    """Words with ``hard`` and ``piece`` as far as a block of their recording tells, and ``_edge``: their island is its first or last and may go on in another."""
+    rows = words.withColumn("_blk", F.expr(f"start_ms div {width}")).dropna(subset=["job_id", islands, "_blk"])
+    rows = rows.repartition("job_id", "_blk").sortWithinPartitions("job_id", "_blk", *ORDER).select("_blk", *words.columns)
+    schema = T.StructType([*words.schema.fields, T.StructField("hard", T.BooleanType()), T.StructField("piece", T.LongType()), T.StructField("_edge", T.BooleanType())])
+
+    cell_key = ("job_id", "_blk")
+
+    def begins(table: pa.Table, *columns: str) -> np.ndarray:
+        new = np.ones(len(table), bool)
+        if len(table) > 1:
+            new[1:] = np.logical_or.reduce([pc.not_equal(table[c][1:], table[c][:-1]).to_numpy() for c in columns])
+        return new
+
+    def split(table: pa.Table) -> pa.RecordBatch:
+        cell, run = begins(table, *cell_key), begins(table, *cell_key, islands)
+        first = np.flatnonzero(run)
+        last = np.append(first[1:], len(table))
+        edge = cell[first] | np.append(cell[first[1:]], True)
+        untimed = pc.is_null(table["end_ms"]).to_numpy()
+        edge |= np.logical_or.reduceat(untimed, first)
+        start, end = table["start_ms"].to_numpy(), pc.fill_null(table["end_ms"], 0).to_numpy()
+        hard, piece = end[last - 1] - start[first] > max_chunk_ms, np.zeros(len(table), np.int64)
+        for k in np.flatnonzero(hard & ~edge):
+            piece[first[k] : last[k]] = _cuts(start[first[k] : last[k]], end[first[k] : last[k]], max_chunk_ms)
+        of = np.repeat(np.arange(len(first)), last - first)
+        out = table.drop_columns("_blk").append_column("hard", pa.array(hard[of])).append_column("piece", pa.array(piece)).append_column("_edge", pa.array(edge[of]))
+        return out.combine_chunks().to_batches()[0]
+
+    def whole_cells(batches: Iterator) -> Iterator:
+        waits: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([batch])
+            # the last cell may go on in the next batch
+            k = int(np.flatnonzero(begins(batch, *cell_key))[-1])
+            if waits and not k and not begins(pa.concat_tables([waits[-1][-1:], batch[:1]]), *cell_key)[1]:
+                waits.append(batch)
+                continue
+            if waits or k:
+                yield split(pa.concat_tables([*waits, batch[:k]]))
+            waits = [batch[k:]]
+        if waits:
+            yield split(pa.concat_tables(waits))
+
+    return rows.mapInArrow(whole_cells, schema)
+
+
+def _split_paths(words: DataFrame, islands: str, max_chunk_ms: int, width: int) -> DataFrame:
+    """Islands of any length cut by paths: the next cut depends only on where the piece starts, so cuts are found for every word by one
+    scan and the path from each island's first word is followed."""
     key = ["job_id", islands]
     rank = F.max_by("end_ms", F.struct(*ORDER)) - F.min("start_ms")
     size = words.groupBy(*key).agg((rank > max_chunk_ms).alias("hard"))
-    w = cut(words.join(size, key))
+    w = cut(words.join(size.hint("merge"), key))
     whole = w.where("NOT hard").withColumn("piece", F.lit(0).cast("long"))
     over = cut(seq.ranked(w.where("hard"), key, ORDER, "rn", width=width).withColumn("pos0", F.col("rn") - 1))
     p = over.select(*key, F.col("pos0").alias("pos"), (F.col("start_ms") + max_chunk_ms).alias("threshold"))
@@ -207,6 +269,17 @@ def hard_split(words: DataFrame, islands: str = "isl", *, max_chunk_ms: int = 60
     return whole.unionByName(pieces)
 
 
+def hard_split(words: DataFrame, islands: str = "isl", *, max_chunk_ms: int = 60_000, width: int = seq.HOUR_MS) -> DataFrame:
+    """Cut islands longer than ``max_chunk_ms`` greedily; adds ``piece`` (0-based in the island) and ``hard``.
+
+    Islands are runs of a recording's words in order. Most lie within one block of their recording and are cut where its words lie; only
+    the first and last of each block, which may go on in another, are followed as paths. Words without recording, island or start are left out.
+    """
+    near = cut(_split_cells(words, islands, max_chunk_ms, width))
+    within = near.where("NOT _edge").drop("_edge")
+    return within.unionByName(_split_paths(near.where("_edge").drop("hard", "piece", "_edge"), islands, max_chunk_ms, width))
+
+
 def word_chunks(
     words: DataFrame,
     *,

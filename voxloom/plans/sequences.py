@@ -341,7 +341,8 @@ def chase(edges: DataFrame, key: Sequence[str], *, block: int = ROWS) -> DataFra
         return pdf.assign(nxt=_exits(pdf["pos"].to_numpy(), pdf["nxt"].to_numpy()))[[*key, "pos", "nxt"]]
 
     size = edges.groupBy(*key).agg((F.max("pos") >= block).alias("_long"))
-    tagged = edges.join(size, key)
+    # written tables look small, as their files are packed: none of them is to be broadcast, which the driver would have to hold
+    tagged = edges.join(size.hint("merge"), key)
     # a short key's edges fit one small array; many of them share an Arrow batch
     short = tagged.where("NOT _long").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "nxt"))).alias("e"))
     done = short.select(*key, F.explode(_walk_dense(F.col("e.nxt"))).alias("pos"))
@@ -354,11 +355,11 @@ def chase(edges: DataFrame, key: Sequence[str], *, block: int = ROWS) -> DataFra
         out = cut(out)
         roots = out.groupBy(*key).agg(F.min("pos").alias("pos"))
         nodes = out.select(*key, F.col("nxt").alias("pos")).where("pos >= 0").unionByName(roots).distinct()
-        return cut(nodes.join(out, [*key, "pos"]).select(*key, "pos", "nxt"))
+        return cut(nodes.join(out.hint("merge"), [*key, "pos"]).select(*key, "pos", "nxt"))
 
     def refine(level: DataFrame, entries: DataFrame, span: int) -> DataFrame:
         first = entries.withColumn("_b", F.expr(f"pos div {span}")).groupBy(*key, "_b").agg(F.min("pos").alias("entry"))
-        rows = level.withColumn("_b", F.expr(f"pos div {span}")).join(first, [*key, "_b"])
+        rows = level.withColumn("_b", F.expr(f"pos div {span}")).join(first.hint("merge"), [*key, "_b"])
         return rows.groupBy(*key, "_b").applyInPandas(walk, path_schema)
 
     nodes = reduce_blocks(long, block)
@@ -370,8 +371,8 @@ def chase(edges: DataFrame, key: Sequence[str], *, block: int = ROWS) -> DataFra
 
 def spans_from_starts(rows: DataFrame, starts: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     """Number rows (key, pos) by the latest path start at or before them (0-based)."""
-    flagged = rows.join(starts.withColumn("_s", F.lit(1)), [*key, "pos"], "left")
-    return running(flagged, key, ["pos"], {name: ("sum", F.coalesce("_s", F.lit(0)))}, width=ROWS).withColumn(
-        name, F.col(name) - 1
-    ).drop("_s")
-
+    # starts meet the rows on one axis, so no pairs are formed and rows move once
+    marks = cut(starts).select(*key, "pos").withColumn("_s", F.lit(1))
+    axis = rows.withColumn("_s", F.lit(0)).unionByName(marks, allowMissingColumns=True).withColumn("_first", -F.col("_s"))
+    seen = _running(axis, key, ["pos", "_first"], {name: ("sum", "_s")}, width=ROWS)
+    return seen.where("_s = 0").withColumn(name, F.col(name) - 1).drop("_s", "_first")
